@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .blocks import BLK, BLOCK_ROWS, block_of
 
@@ -200,7 +201,7 @@ def grouped_rows(
         fold_in.withColumn("_h", F.lit(False)).unionByName(openings, allowMissingColumns=True)
         .repartition(*keys, BLK).sortWithinPartitions(*sort)
     )
-    schema = ready.schema.add("group_start", "bigint")
+    schema = StructType([*ready.schema.fields, StructField("group_start", LongType())])
     return ready.mapInArrow(_assign(keys, rule), schema).filter(~F.col("_h")).select(*df.columns, "group_start")
 
 

@@ -317,3 +317,24 @@ notes AS (
          list_filter(string_split(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[^A-Za-zÀ-ÿ]+', ' ', 'g'), ' '), lambda w: length(w) >= 6) AS aliases
   FROM pages)
 """
+
+
+def asr_segments(spark, sf_dir) -> DataFrame:
+    """Segments with recogniser faults by rule: silence, unknown tokens, loops, lost characters."""
+    idx, text = F.col("seg_idx"), F.col("text")
+    return segments(spark, sf_dir).withColumn(
+        "text",
+        F.when(idx % 13 == 0, F.lit(""))
+        .when(idx % 17 == 0, F.replace(text, F.lit(" "), F.lit(" <unk> ")))
+        .when(idx % 19 == 0, F.repeat(F.concat(F.substring_index(text, " ", 1), F.lit(" ")), 7))
+        .when(idx % 23 == 0, F.concat(text, F.lit("�")))
+        .otherwise(text),
+    )
+
+
+ASR = r"""
+asr AS (
+  SELECT * REPLACE (CASE WHEN seg_idx % 13 = 0 THEN '' WHEN seg_idx % 17 = 0 THEN replace(text, ' ', ' <unk> ')
+         WHEN seg_idx % 19 = 0 THEN repeat(split_part(text, ' ', 1) || ' ', 7) WHEN seg_idx % 23 = 0 THEN text || chr(65533) ELSE text END AS text)
+  FROM seg)
+"""
