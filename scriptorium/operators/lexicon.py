@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields, text as T
 from ..functions.align import mask_names
-from ..session import broadcast_if_small
+from ..session import balanced, broadcast_if_small, is_small
 
 
 def load_lexicon(base: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -155,14 +155,16 @@ def _pieces_of_word(w: Column) -> Column:
 def fuzzy_pairs(words: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct lower-case ``word`` and the first term whose name is 1-2 edits away."""
     names = names.select("term", "pos", F.lower("name").alias("_n")).filter(F.length("_n") >= 4)
+    # a name gives at most 172 keys, so a bound on names bounds the broadcast
+    hint = F.broadcast if is_small(names, 50_000) else (lambda df: df)
     short = names.filter(F.length("_n") <= SHORT).select("*", F.explode(_deletions(F.col("_n"))).alias("_k"))
     long = names.filter(F.length("_n") > SHORT).select("*", F.explode(_pieces_of_name(F.col("_n"))).alias("_k"))
     w = F.col("word")
     near = words.filter(F.length(w) <= SHORT + 2).select(w, F.explode(_deletions(w)).alias("_k"))
     far = words.filter(F.length(w) > SHORT - 2).select(w, F.explode(_pieces_of_word(w)).alias("_k"))
     close = (F.levenshtein(w, F.col("_n"), 2) >= 0) & (w != F.col("_n"))
-    hits = near.join(broadcast_if_small(short, 2_000_000), "_k").filter(close).unionByName(
-        far.join(broadcast_if_small(long), "_k").filter(close)
+    hits = near.join(hint(short), "_k").filter(close).unionByName(
+        far.join(hint(long), "_k").filter(close)
     )
     return hits.groupBy("word").agg(F.min_by(F.struct("term", "pos"), "pos").alias("t")).select("word", "t.term", "t.pos")
 
@@ -177,8 +179,9 @@ def near_misses(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
         T.extract_all(F.col(text), "[A-Za-zÀ-ÖØ-öø-ÿ]+"), lambda x: F.length(x) >= 4
     ))
     used = texts.select(*keys, F.explode(found).alias("near_word")).withColumn("word", F.lower("near_word"))
-    pairs = fuzzy_pairs(used.select("word").distinct(), names)
-    return used.join(broadcast_if_small(pairs), "word").drop("word")
+    # the distinct words are few bytes but much work: keep them on every core
+    spellings = balanced(used.select("word").distinct(), "word")
+    return used.join(fuzzy_pairs(spellings, names), "word").drop("word")
 
 
 def grounding_hints(texts: DataFrame, text: str, names: DataFrame, limit: int = 8) -> DataFrame:

@@ -1,4 +1,4 @@
 """All queries: importing the plan modules fills the registry."""
 
-from . import findings_queries, sequence_queries, text_queries  # noqa: F401
+from . import findings_queries, sequence_queries, text_queries, validate_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -48,12 +48,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame, max_rows: int = 100_000) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after counting at most ``max_rows + 1`` rows.
 
     A larger side comes back without hint and joins by shuffle.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -63,3 +67,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Keep small but costly rows on every core; sizes alone would merge them."""
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # hashed keys: an equal partitioning would be folded into the shuffle before
+    return df.repartition(wanted, F.xxhash64(*keys))

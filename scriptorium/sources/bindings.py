@@ -338,3 +338,32 @@ asr AS (
          WHEN seg_idx % 19 = 0 THEN repeat(split_part(text, ' ', 1) || ' ', 7) WHEN seg_idx % 23 = 0 THEN text || chr(65533) ELSE text END AS text)
   FROM seg)
 """
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    """Pairs with a proposed revision, faulty in a known way for eight of ten rows."""
+    p, i, raw = pairs(spark, sf_dir), F.col("seg_idx"), F.col("raw")
+    cand = (
+        F.when(i % 10 == 0, F.lit(""))
+        .when(i % 10 == 1, F.substring(raw, 1, F.floor(F.length(raw) / 2).cast("int")))
+        .when(i % 10 == 2, F.concat(F.lit("We need to examine the passage. I will rewrite it for the user: "), raw))
+        .when(i % 10 == 3, F.concat(raw, F.repeat(F.lit(" invented words of the rules in this request"), 8)))
+        .when(i % 10 == 4, F.concat(F.lit("<think>x</think> "), raw))
+        .when(i % 10 == 5, F.concat(raw, F.lit("�")))
+        .when(i % 10 == 6, F.concat(F.repeat(F.concat(F.substring_index(raw, " ", 1), F.lit(" ")), 7), raw))
+        .when(i % 10 == 7, F.concat(F.lit("Quite another opening line here\n"), raw))
+        .otherwise(F.regexp_replace(raw, "[0-9]+", ""))
+    )
+    return p.withColumn("candidate", cand)
+
+
+CAND = r"""
+cand AS (
+  SELECT *, CASE seg_idx % 10 WHEN 0 THEN '' WHEN 1 THEN substring(raw, 1, (length(raw) // 2)::INT)
+    WHEN 2 THEN 'We need to examine the passage. I will rewrite it for the user: ' || raw
+    WHEN 3 THEN raw || repeat(' invented words of the rules in this request', 8)
+    WHEN 4 THEN '<think>x</think> ' || raw WHEN 5 THEN raw || chr(65533)
+    WHEN 6 THEN repeat(split_part(raw, ' ', 1) || ' ', 7) || raw WHEN 7 THEN 'Quite another opening line here' || chr(10) || raw
+    ELSE regexp_replace(raw, '[0-9]+', '', 'g') END AS candidate
+  FROM pair)
+"""
