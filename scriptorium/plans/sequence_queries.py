@@ -201,16 +201,19 @@ def nearest_occurrence(spark, d):
     return B.segments(spark, d).select("doc_id", "seg_idx", place.cast("bigint").alias("at_pos"))
 
 
-@query(
-    "subtitle_wrap",
-    with_(
-        B.SEG,
-        r"""w AS (SELECT doc_id, seg_idx, string_split(coalesce(speaker || ': ', '') || text, ' ') AS w FROM seg WHERE length(text) < 100000),
+WRAP = r"""w AS (SELECT doc_id, seg_idx, string_split(coalesce(speaker || ': ', '') || text, ' ') AS w FROM seg),
 w2 AS (SELECT doc_id, seg_idx, list_filter(w, lambda x: x <> '') AS w FROM w),
 r AS (SELECT doc_id, seg_idx, w, 1 AS i, '' AS done, w[1] AS line FROM w2
   UNION ALL
   SELECT doc_id, seg_idx, w, i + 1, CASE WHEN length(line) + 1 + length(w[i + 1]) > 42 THEN done || line || chr(10) ELSE done END,
-         CASE WHEN length(line) + 1 + length(w[i + 1]) > 42 THEN w[i + 1] ELSE line || ' ' || w[i + 1] END FROM r WHERE i < len(w))""".replace(" WHERE length(text) < 100000", ""),
+         CASE WHEN length(line) + 1 + length(w[i + 1]) > 42 THEN w[i + 1] ELSE line || ' ' || w[i + 1] END FROM r WHERE i < len(w))"""
+
+
+@query(
+    "subtitle_wrap",
+    with_(
+        B.SEG,
+        WRAP,
     )
     + "SELECT doc_id, seg_idx, done || line AS text FROM r WHERE i = len(w)",
 )
