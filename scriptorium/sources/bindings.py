@@ -243,7 +243,7 @@ def job_events(spark, sf_dir) -> DataFrame:
     """job_id, event_id, ts, status, stage, progress, value."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("job_id"), "event_id", "ts",
+        F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.element_at(
             F.create_map(*[F.lit(x) for x in ("signup", "queued", "view", "running", "click", "transcribed", "purchase", "done", "error", "error")]),
             F.col("event_type"),
