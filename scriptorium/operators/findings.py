@@ -16,18 +16,20 @@ PRE_ALERT = 0.75
 FINDING = ("doc_id", "block_id", "kind", "severity", "message", "start", "raw_excerpt", "source")
 
 
-def lost_tokens(pairs: DataFrame) -> DataFrame:
-    """Numbers and acronyms said but not written, in one pass over the pairs."""
+def _lost() -> Column:
     lost = lambda kind, of: F.transform(
         T.bag_missing(of("raw"), of("clean")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("token"))
     )
-    both = F.concat(lost("chiffre", T.numbers), lost("terme", T.acronyms))
-    return pairs.select(*pairs.columns, F.explode(both).alias("t")).select(*pairs.columns, "t.kind", "t.token")
+    return F.concat(lost("chiffre", T.numbers), lost("terme", T.acronyms))
+
 
+def _melted() -> Column:
+    return (F.col("raw") != "") & (F.length("clean") < F.length("raw") * LENGTH_ALERT)
 
-def length_loss(pairs: DataFrame) -> DataFrame:
-    short = F.length("clean") < F.length("raw") * LENGTH_ALERT
-    return pairs.filter((F.col("raw") != "") & short)
+
+def lost_tokens(pairs: DataFrame) -> DataFrame:
+    """Numbers and acronyms said but not written, in one pass over the pairs."""
+    return pairs.select(*pairs.columns, F.explode(_lost()).alias("t")).select(*pairs.columns, "t.kind", "t.token")
 
 
 def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context: bool = False) -> DataFrame:
@@ -35,46 +37,44 @@ def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context:
 
     ``context`` adds ``clean_excerpt``, the place in the revised text.
     """
-    at = lambda word: F.col(word)
-    lost = lost_tokens(pairs)
-    number = F.concat(F.lit("Le nombre « "), at("token"), F.lit(" » est prononcé mais absent du texte relu."))
-    acronym = F.concat(F.lit("Le sigle « "), at("token"), F.lit(" » est prononcé mais absent du texte relu."))
+    # one pass: every finding of a pair is an element of one array
+    cut = F.when(_melted(), F.array(F.struct(F.lit("coupure").alias("kind"), F.lit("").alias("token"))))
+    none = F.array().cast("array<struct<kind:string,token:string>>")
+    found = pairs.select(*pairs.columns, F.explode(F.concat(_lost(), F.coalesce(cut, none))).alias("t"))
+    found = found.select(*pairs.columns, "t.kind", "t.token")
+    kind, token = F.col("kind"), F.col("token")
+    known = F.lit(False)
     if names is not None:
-        known = lookup(lost.filter("kind = 'terme'").select(F.col("token").alias("citation")), names, verified_only=False)
-        lost = lost.join(broadcast_if_small(known.select(F.col("citation").alias("token"), F.lit(True).alias("known"))), "token", "left")
-    else:
-        lost = lost.withColumn("known", F.lit(None).cast("boolean"))
-    high = (F.col("kind") == "chiffre") | F.col("known")
-    tokens = lost.select(
-        "doc_id", "block_id", "kind", F.when(high, "haute").otherwise("moyenne").alias("severity"),
-        F.when(F.col("kind") == "chiffre", number).otherwise(acronym).alias("message"), "start",
-        T.excerpt("raw", "token").alias("raw_excerpt"), F.lit("regles").alias("source"),
-        *([missing_context("raw", "clean", "token").alias("clean_excerpt")] if context else []),
-    )
-    short = length_loss(pairs)
+        terms = lookup(found.filter("kind = 'terme'").select(token.alias("citation")), names, verified_only=False)
+        found = found.join(terms.select(F.col("citation").alias("token"), F.lit(True).alias("known")), "token", "left")
+        known = F.coalesce("known", F.lit(False))
     percent = F.rint((1 - F.length("clean") / F.length("raw")) * 100).cast("bigint").cast("string")
+    message = (
+        F.when(kind == "chiffre", F.concat(F.lit("Le nombre « "), token, F.lit(" » est prononcé mais absent du texte relu.")))
+        .when(kind == "terme", F.concat(F.lit("Le sigle « "), token, F.lit(" » est prononcé mais absent du texte relu.")))
+        .otherwise(F.concat(F.lit("Ce passage a perdu "), percent, F.lit(" % de sa longueur à la relecture : à comparer avec le texte brut.")))
+    )
+    raw_part, clean_part = T.excerpt("raw", "token"), []
     if context:
-        short = short.withColumn("_a", align("raw", "clean"))
-        raw_part = F.when(F.col("_a.raw_start").isNotNull(), T.excerpt_at(F.col("raw"), F.col("_a.raw_start"))).otherwise(T.excerpt("raw"))
-        clean_part = T.excerpt_at(F.col("clean"), F.col("_a.clean_start"))
-    else:
-        raw_part, clean_part = T.excerpt("raw"), F.lit("")
-    cuts = short.select(
-        "doc_id", "block_id", F.lit("coupure").alias("kind"), F.lit("haute").alias("severity"),
-        F.concat(F.lit("Ce passage a perdu "), percent, F.lit(" % de sa longueur à la relecture : à comparer avec le texte brut.")).alias("message"),
-        "start", raw_part.alias("raw_excerpt"), F.lit("regles").alias("source"),
-        *([F.coalesce(clean_part, F.lit("")).alias("clean_excerpt")] if context else []),
+        only = lambda c, wanted: F.when(wanted, F.col(c))
+        is_cut = kind == "coupure"
+        found = found.withColumns({
+            "_a": align(only("raw", is_cut), only("clean", is_cut)),
+            "_m": missing_context(only("raw", ~is_cut), only("clean", ~is_cut), token),
+        })
+        raw_part = F.when(is_cut & F.col("_a.raw_start").isNotNull(), T.excerpt_at(F.col("raw"), F.col("_a.raw_start"))).otherwise(raw_part)
+        clean_part = [F.when(is_cut, T.excerpt_at(F.col("clean"), F.col("_a.clean_start"))).otherwise(F.col("_m")).alias("clean_excerpt")]
+    out = found.select(
+        "doc_id", "block_id", "kind", F.when((kind == "terme") & ~known, "moyenne").otherwise("haute").alias("severity"),
+        message.alias("message"), "start", raw_part.alias("raw_excerpt"), F.lit("regles").alias("source"), *clean_part,
     )
-    out = tokens.unionByName(cuts)
     if names is None:
         return out
     # the lexicon pass needs only keys; the texts come back for the rows it finds
-    near = near_misses(pairs.select("doc_id", "block_id", "start", "raw", "clean", F.col("clean").alias("_t")), "_t", names)
-    acr = names.select("term", "pos").distinct()
-    near = near.drop("pos").join(
-        broadcast_if_small(names.groupBy("term").agg(F.max("short").alias("short")) if "short" in names.columns else acr.select("term", F.lit("").alias("short"))),
-        "term",
-    )
+    near = near_misses(pairs.select("doc_id", "block_id", "clean"), "clean", names).drop("pos")
+    short = F.max("short") if "short" in names.columns else F.max(F.lit(""))
+    near = near.join(broadcast_if_small(names.groupBy("term").agg(short.alias("short"))), "term")
+    near = near.join(pairs.select("doc_id", "block_id", "start", "raw", "clean"), ["doc_id", "block_id"])
     message = F.concat(F.lit("« "), "near_word", F.lit(" » ressemble à « "), "term", F.lit(" »"), "short", F.lit(" sans lui être identique : graphie à vérifier."))
     lexical = near.select(
         "doc_id", "block_id", F.lit("lexique").alias("kind"), F.lit("basse").alias("severity"), message.alias("message"),
@@ -138,8 +138,9 @@ def pairs_with_findings(pairs: DataFrame, findings: DataFrame) -> DataFrame:
 
 def basic_proofread(paragraphs: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """Paragraphs cleaned by rule; blank results are dropped."""
-    clean = paragraphs.withColumn("clean", T.clean_line("text", pack)).filter(F.col("clean") != "")
-    return clean.select(
+    # exploding a filtered array cleans once; a filter on the column would clean twice
+    kept = F.filter(F.array(T.clean_line("text", pack)), lambda c: c != "")
+    return paragraphs.select("*", F.explode(kept).alias("clean")).select(
         "doc_id", F.concat_ws("-", F.lit("block"), F.col("first_idx").cast("string"), F.col("last_idx").cast("string")).alias("block_id"),
         "first_idx", "last_idx", "start", "end", F.col("text").alias("raw"), "clean",
     )

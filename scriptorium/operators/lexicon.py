@@ -64,15 +64,48 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[sized(k) for k in range(1, GRAM + 1)]))
 
 
-def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, on: list[str] = []) -> DataFrame:
-    """Pairs where the text contains the needle, with equal ``on`` columns.
+def _gaps(text: Column) -> Column:
+    return T.extract_all(text, r"[^\p{L}\p{N}_]+")
 
-    A needle can only be contained where its first four characters are, so these
-    are the join key; each candidate is verified.
+
+def _anchor(needle: Column) -> Column:
+    """The run of a needle by which texts are met.
+
+    Inside a text a needle's inner words stand whole; its only or first word is
+    part of a word; a needle without words is part of a gap between words.
+    """
+    return T.let(T.extract_all(needle, T.WORDS), lambda w: T.let(
+        F.when(F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2)).otherwise(F.slice(w, 1, 1)),
+        lambda inner: _pick_anchor(w, inner, needle),
+    ))
+
+
+def _pick_anchor(words: Column, inner: Column, needle: Column) -> Column:
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    how = F.when(F.size(words) == 0, "gap").when(F.size(words) < 3, "part").otherwise("whole")
+    return F.struct(how.alias("how"), F.when(F.size(words) == 0, needle).otherwise(longest).alias("run"))
+
+
+def contains_join(texts: DataFrame, keys: list[str], text: str, needles: DataFrame, needle: str, on: list[str] = []) -> DataFrame:
+    """Pairs where the text contains the needle, with equal ``on`` columns (part of ``keys``).
+
+    Texts are met through their distinct words, never copied per word. Which word
+    contains which anchor is found once for the whole vocabulary; only then come
+    the texts back, for the candidates.
     """
-    left = texts.select("*", F.explode(_grams(F.col(text))).alias("_g"))
-    right = broadcast_if_small(needles.withColumn("_g", _first_gram(F.col(needle))))
-    return left.join(right, [*on, "_g"]).filter(F.contains(text, needle)).drop("_g")
+    n = needles.withColumn("_a", _anchor(F.col(needle))).withColumns({"_how": F.col("_a.how"), "_run": F.col("_a.run")}).drop("_a")
+    anchors = n.select("_how", "_run").distinct()
+    tagged = lambda runs, gap: F.transform(F.array_distinct(runs), lambda x: F.struct(F.lit(gap).alias("gap"), x.alias("w")))
+    runs = F.concat(tagged(T.extract_all(F.col(text), T.WORDS), False), tagged(_gaps(F.col(text)), True))
+    seen = texts.select(*keys, F.explode(runs).alias("_r")).select(*keys, "_r.gap", "_r.w")
+    vocabulary = balanced(seen.select("gap", "w").distinct(), "w")
+    whole = anchors.filter("_how = 'whole'").select(F.lit(False).alias("gap"), F.col("_run").alias("w"), "_how", "_run")
+    parts = vocabulary.select("gap", "w", F.explode(_grams(F.col("w"))).alias("_g")).join(
+        anchors.filter("_how <> 'whole'").withColumn("_g", _first_gram(F.col("_run"))).withColumn("gap", F.col("_how") == "gap"), ["gap", "_g"]
+    ).filter(F.contains("w", "_run")).select("gap", "w", "_how", "_run")
+    met = seen.join(parts.unionByName(whole), ["gap", "w"]).select(*keys, "_how", "_run").distinct()
+    pairs = met.join(n, [*on, "_how", "_run"]).drop("_how", "_run")
+    return pairs.join(texts.select(*keys, text), keys).filter(F.contains(text, needle))
 
 
 def lookup(citations: DataFrame, names: DataFrame, verified_only: bool = True) -> DataFrame:
@@ -84,7 +117,7 @@ def lookup(citations: DataFrame, names: DataFrame, verified_only: bool = True) -
         names = names.filter("verified")
     needles = names.select("term", "pos", "category", F.lower("name").alias("_n"))
     texts = citations.select("citation").distinct().withColumn("_t", F.lower("citation"))
-    hits = contains_join(texts, "_t", needles, "_n")
+    hits = contains_join(texts, ["citation"], "_t", needles, "_n")
     best = F.min_by(F.struct("term", "category"), F.struct((-F.length("_n")).alias("l"), F.col("pos")))
     return hits.groupBy("citation").agg(best.alias("b")).select("citation", F.col("b.term").alias("term"), F.col("b.category").alias("category"))
 
@@ -107,7 +140,7 @@ def reference_match(citations: DataFrame, lexicon: DataFrame, min_len: int = 10)
         .filter(F.length("_r") >= min_len)
     )
     texts = citations.select("citation").distinct().withColumn("_t", T.match_norm("citation"))
-    hits = contains_join(texts, "_t", refs, "_r")
+    hits = contains_join(texts, ["citation"], "_t", refs, "_r")
     return hits.groupBy("citation").agg(F.min_by("term", "pos").alias("term"))
 
 
@@ -217,22 +250,23 @@ def ungrounded_entities(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """
     keys = [c for c in pairs.columns if c not in ("raw", "candidate")]
     name_words = T.compare_words("name")
-    known = names.select("term", "pos", _padded(name_words).alias("_n"), F.try_element_at(name_words, F.lit(1)).alias("_w")).filter(
-        F.col("_w").isNotNull()
-    )
-    small = broadcast_if_small(known)
-    text = pairs.select(*keys, T.compare_words("candidate").alias("_c"))
-    said = (
-        text.select(*keys, _padded(F.col("_c")).alias("_p"), F.explode(F.array_distinct("_c")).alias("_w"))
-        .join(small, "_w").filter(F.contains("_p", "_n")).select(*keys, "term").distinct()
-    )
-    raw = pairs.select(*keys, T.compare_words("raw").alias("_c"))
-    heard = (
-        raw.select(*keys, _padded(F.col("_c")).alias("_p"), F.explode(F.array_distinct("_c")).alias("_w"))
-        .join(small, "_w").filter(F.contains("_p", "_n")).select(*keys, "term").distinct()
-    )
-    close = near_misses(pairs.select(*keys, "raw"), "raw", names).select(*keys, "term").distinct()
-    return said.join(heard, [*keys, "term"], "left_anti").join(close, [*keys, "term"], "left_anti")
+    known = names.select(
+        "term", _padded(name_words).alias("_n"), F.try_element_at(name_words, F.lit(1)).alias("_w"), (F.size(name_words) > 1).alias("_long")
+    ).filter(F.col("_w").isNotNull()).distinct()
+    known = broadcast_if_small(known)
+
+    def named(side: str) -> DataFrame:
+        words = pairs.select(*keys, F.explode(F.array_distinct(T.compare_words(side))).alias("_w"))
+        met = words.join(known, "_w")
+        # a name of one word is met; a longer one is looked for in the text
+        short = met.filter(~F.col("_long")).select(*keys, "term")
+        long = met.filter("_long").select(*keys, "term", "_n").join(pairs.select(*keys, side), keys)
+        long = long.filter(F.contains(_padded(T.compare_words(side)), F.col("_n"))).select(*keys, "term")
+        return short.unionByName(long)
+
+    said = named("candidate").distinct()
+    close = near_misses(pairs.select(*keys, "raw"), "raw", names).select(*keys, "term")
+    return said.join(named("raw").unionByName(close), [*keys, "term"], "left_anti")
 
 
 # ---- trusted spans -------------------------------------------------------
