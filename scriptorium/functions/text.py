@@ -171,12 +171,17 @@ def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def unaccent(c: Column | str) -> Column:
     source, target, many = _fold_table()
-    text = F.translate(_col(c), source, target)
     wide = "[" + "".join(char for char, _ in many) + "]"
-    full = text
-    for char, plain in many:
-        full = F.replace(full, F.lit(char), F.lit(plain))
-    return F.when(text.rlike(wide), full).otherwise(text)
+
+    def plain(text):
+        one = F.translate(text, source, target)
+        full = one
+        for char, letters in many:
+            full = F.replace(full, F.lit(char), F.lit(letters))
+        return F.when(text.rlike(wide), full).otherwise(one)
+
+    # plain ASCII, the common case, is left alone
+    return F.when(_col(c).rlike(r"[^\x00-\x7f]"), plain(_col(c))).otherwise(_col(c))
 
 
 def fold(c: Column | str) -> Column:
@@ -307,22 +312,22 @@ def word_loop(words: Column) -> Column:
 
 def _word_loop(words: Column) -> Column:
     total = F.size(words)
+    # n repeats of k words leave n*k - k words that were seen before
+    repeats = total - F.size(F.array_distinct(words))
 
-    def loops(size):
+    def loops(size, again):
         run = size * F.when(size < 4, 5).otherwise(2)
         equal = F.transform(
             F.sequence(F.lit(1), total - size),
             lambda i: F.when(F.element_at(words, i) == F.element_at(words, i + size), "1").otherwise("0"),
         )
         return F.when(
-            size + run <= total, F.contains(F.array_join(equal, ""), F.repeat(F.lit("1"), run))
+            (again >= run) & (size + run <= total), F.contains(F.array_join(equal, ""), F.repeat(F.lit("1"), run))
         ).otherwise(F.lit(False))
 
-    # a loop repeats words, so texts without enough repeats leave early
-    repeats = total - F.size(F.array_distinct(words))
-    return F.when(repeats < 5, F.lit(False)).otherwise(
-        F.exists(F.sequence(F.lit(1), F.lit(20)), loops)
-    )
+    return let(repeats, lambda again: F.when(again < 5, F.lit(False)).otherwise(
+        F.exists(F.sequence(F.lit(1), F.lit(20)), lambda size: loops(size, again))
+    ))
 
 
 def repetition_loop(c: Column | str) -> Column:
