@@ -74,7 +74,7 @@ def parse_notes(files: DataFrame) -> DataFrame:
 def index_notes(spark: SparkSession, root: str) -> DataFrame:
     """Every Markdown file below a folder."""
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
     return parse_notes(files)
