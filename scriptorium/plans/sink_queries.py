@@ -64,7 +64,7 @@ fl AS (SELECT doc_id, 4 * {SEC} + 1 + CASE severity WHEN 'haute' THEN 0 WHEN 'mo
 @query(
     "render_markdown",
     with_(B.SEG, B.PAIR, PLAIN, B.JOBS, COURSE, LINES)
-    + f"""SELECT * FROM course UNION ALL SELECT doc_id, seq, string_agg(line, chr(10) ORDER BY line) FROM fl GROUP BY doc_id, seq
+    + f"""SELECT * FROM course UNION ALL SELECT doc_id, seq, line FROM fl
       UNION ALL SELECT DISTINCT doc_id, 4 * {SEC}, chr(10) || '## Points à vérifier' || chr(10) || chr(10) || '_Signalés par la vérification automatique : à confronter à l''enregistrement._' || chr(10) FROM find""",
 )
 def render_markdown(spark, d):

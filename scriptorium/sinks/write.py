@@ -17,7 +17,7 @@ def write_pieces(pieces: DataFrame, root: str, name: str = "doc_id") -> None:
 
     Rows are ranged by (file, seq), so a long file is spread over many tasks.
     """
-    ordered = pieces.repartitionByRange(F.col(name), F.col("seq")).sortWithinPartitions(name, "seq")
+    ordered = pieces.repartitionByRange(F.col(name), F.col("seq"), F.col("content")).sortWithinPartitions(name, "seq", "content")
     ordered.select(name, F.col("content").alias("value")).write.mode("overwrite").partitionBy(name).text(root)
 
 

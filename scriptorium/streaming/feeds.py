@@ -31,16 +31,16 @@ _SNAPSHOT = T.StructType([
 ])
 
 
-def _day(ts: str = "ts") -> Column:
-    """Blocks of a day: a job with many events is many small sorts."""
-    return F.floor(F.unix_micros(ts) / 86_400_000_000).cast("bigint")
+def _hour(ts: str = "ts") -> Column:
+    """Blocks of an hour: a job with many events is many small sorts."""
+    return F.floor(F.unix_micros(ts) / 3_600_000_000).cast("bigint")
 
 
 # ---- batch forms ---------------------------------------------------------
 
 def status_changes(events: DataFrame) -> DataFrame:
     """Snapshots that differ in status from the one before."""
-    e = lagged(events, ["job_id"], ["ts", "event_id"], {"_p": F.col("status")}, block=_day())
+    e = lagged(events, ["job_id"], ["ts", "event_id"], {"_p": F.col("status")}, block=_hour())
     return e.filter(F.col("_p").isNull() | (F.col("_p") != F.col("status"))).drop("_p")
 
 
@@ -52,9 +52,9 @@ def progress_throttle(events: DataFrame, seconds: float = 2.0) -> DataFrame:
     """
     limit = int(seconds * 1_000_000)
     us = F.unix_micros("ts")
-    e = lagged(events, ["job_id"], ["ts", "event_id"], {"_ps": F.col("stage"), "_pt": us}, block=_day())
+    e = lagged(events, ["job_id"], ["ts", "event_id"], {"_ps": F.col("stage"), "_pt": us}, block=_hour())
     fresh = F.col("_pt").isNull() | (F.col("_ps") != F.col("stage")) | (us - F.col("_pt") >= limit)
-    e = running(e, ["job_id"], ["ts", "event_id"], {"_burst": (F.when(fresh, 1).otherwise(0), "sum")}, block=_day())
+    e = running(e, ["job_id"], ["ts", "event_id"], {"_burst": (F.when(fresh, 1).otherwise(0), "sum")}, block=_hour())
     e = e.withColumn("_us", us).drop("_ps", "_pt")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +86,7 @@ def legal(before: Column, after: Column) -> Column:
 
 def stage_progression(events: DataFrame) -> DataFrame:
     """Each event with the state before it and whether the step is legal."""
-    e = lagged(events, ["job_id"], ["ts", "event_id"], {"previous": F.col("status")}, block=_day())
+    e = lagged(events, ["job_id"], ["ts", "event_id"], {"previous": F.col("status")}, block=_hour())
     return e.withColumn("legal", legal(F.col("previous"), F.col("status")))
 
 
