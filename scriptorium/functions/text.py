@@ -418,8 +418,9 @@ def best_window(flags: Column, window: int) -> Column:
 
 def window_support(raw_words: Column, words: Column, window: int = 8) -> Column:
     """Best share of known words over every window of the candidate."""
-    known = let(F.array_distinct(raw_words), lambda known: _hits(words, known))
-    return let(known, lambda flags: best_window(flags, window))
+    # most words are known, so each is looked for among the few that are not
+    flags = let(F.array_except(words, raw_words), lambda new: F.transform(words, lambda w: (~F.array_contains(new, w)).cast("int")))
+    return let(flags, lambda f: best_window(f, window))
 
 
 def opening_support(raw_words: Column, candidate: Column | str, min_words: int = 4) -> Column:

@@ -249,24 +249,30 @@ def ungrounded_entities(pairs: DataFrame, names: DataFrame) -> DataFrame:
     ``pairs`` has key columns plus ``raw`` and ``candidate``.
     """
     keys = [c for c in pairs.columns if c not in ("raw", "candidate")]
+    pairs = pairs.fillna("", subset=["raw", "candidate"])
     name_words = T.compare_words("name")
     known = names.select(
         "term", _padded(name_words).alias("_n"), F.try_element_at(name_words, F.lit(1)).alias("_w"), (F.size(name_words) > 1).alias("_long")
     ).filter(F.col("_w").isNotNull()).distinct()
     known = broadcast_if_small(known)
 
-    def named(side: str) -> DataFrame:
-        words = pairs.select(*keys, F.explode(F.array_distinct(T.compare_words(side))).alias("_w"))
-        met = words.join(known, "_w")
-        # a name of one word is met; a longer one is looked for in the text
-        short = met.filter(~F.col("_long")).select(*keys, "term")
-        long = met.filter("_long").select(*keys, "term", "_n").join(pairs.select(*keys, side), keys)
-        long = long.filter(F.contains(_padded(T.compare_words(side)), F.col("_n"))).select(*keys, "term")
-        return short.unionByName(long)
-
-    said = named("candidate").distinct()
-    close = near_misses(pairs.select(*keys, "raw"), "raw", names).select(*keys, "term")
-    return said.join(named("raw").unionByName(close), [*keys, "term"], "left_anti")
+    # an unchanged text introduces nothing; a one-word name only as a new word
+    changed = pairs.filter(F.col("raw") != F.col("candidate")).withColumns({
+        "_c": T.compare_words("candidate"), "_h": T.compare_words("raw"),
+    })
+    new = changed.select(*keys, F.explode(F.array_except("_c", "_h")).alias("_w"))
+    short = new.join(known.filter("not _long"), "_w").select(*keys, "term")
+    every = changed.select(*keys, F.explode(F.array_distinct("_c")).alias("_w"))
+    long = every.join(known.filter("_long"), "_w").select(*keys, "term", "_n").join(changed.select(*keys, "_c"), keys)
+    long = long.filter(F.contains(_padded(F.col("_c")), F.col("_n"))).select(*keys, "term")
+    said = short.unionByName(long).distinct()
+
+    # only texts that gained a term are asked whether they heard it, under any name
+    gained = pairs.join(said.select(*keys).distinct(), keys, "left_semi").select(*keys, "raw")
+    heard = said.join(known.select("term", "_n"), "term").join(gained.withColumn("_p", _padded(T.compare_words("raw"))), keys)
+    heard = heard.filter(F.contains("_p", "_n")).select(*keys, "term")
+    close = near_misses(gained, "raw", names).select(*keys, "term")
+    return said.join(heard.unionByName(close), [*keys, "term"], "left_anti")
 
 
 # ---- trusted spans -------------------------------------------------------

@@ -152,3 +152,18 @@ def test_verdicts_are_applied_safely(spark):
     found = {r["raw_excerpt"]: r["severity"] for r in C.verdict_findings(marks).collect()}
     assert found == {"2020": "moyenne"}  # three letters are too short a place to note
     assert C.corrections_count(v).first()["corrections"] == 1
+
+
+def test_entities_must_be_grounded(spark):
+    names = lexicon(spark, ["code civil", "curatelle", "juge"])
+    p = spark.createDataFrame([
+        (1, "le code dit", "le code civil dit"),            # said, not heard
+        (2, "le civil code dit", "le code civil dit"),      # same words, other order
+        (3, "le Code  Civil dit", "le code civil dit"),     # heard
+        (4, "la curatele dit", "la curatelle dit"),         # misspelt in the raw text
+        (5, "la dame dit", "la dame dit"),
+        (6, "il dit", "la Curatelle dit au juge"),
+        (7, None, "juge"),
+    ], "id long, raw string, candidate string")
+    got = sorted((r["id"], r["term"]) for r in L.ungrounded_entities(p, names).collect())
+    assert got == [(1, "code civil"), (2, "code civil"), (6, "curatelle"), (6, "juge"), (7, "juge")]
