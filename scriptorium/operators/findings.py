@@ -29,7 +29,7 @@ def _melted() -> Column:
 
 def lost_tokens(pairs: DataFrame) -> DataFrame:
     """Numbers and acronyms said but not written, in one pass over the pairs."""
-    return pairs.select(*pairs.columns, F.explode(_lost()).alias("t")).select(*pairs.columns, "t.kind", "t.token")
+    return pairs.select(*pairs.columns, F.explode_outer(_lost()).alias("t")).filter("t is not null").select(*pairs.columns, "t.kind", "t.token")
 
 
 def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context: bool = False) -> DataFrame:
@@ -40,7 +40,7 @@ def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context:
     # one pass: every finding of a pair is an element of one array
     cut = F.when(_melted(), F.array(F.struct(F.lit("coupure").alias("kind"), F.lit("").alias("token"))))
     none = F.array().cast("array<struct<kind:string,token:string>>")
-    found = pairs.select(*pairs.columns, F.explode(F.concat(_lost(), F.coalesce(cut, none))).alias("t"))
+    found = pairs.select(*pairs.columns, F.explode_outer(F.concat(_lost(), F.coalesce(cut, none))).alias("t")).filter("t is not null")
     found = found.select(*pairs.columns, "t.kind", "t.token")
     kind, token = F.col("kind"), F.col("token")
     known = F.lit(False)
@@ -140,7 +140,7 @@ def basic_proofread(paragraphs: DataFrame, pack: RulePack = DEFAULT_PACK) -> Dat
     """Paragraphs cleaned by rule; blank results are dropped."""
     # exploding a filtered array cleans once; a filter on the column would clean twice
     kept = F.filter(F.array(T.clean_line("text", pack)), lambda c: c != "")
-    return paragraphs.select("*", F.explode(kept).alias("clean")).select(
+    return paragraphs.select("*", F.explode_outer(kept).alias("clean")).filter("clean is not null").select(
         "doc_id", F.concat_ws("-", F.lit("block"), F.col("first_idx").cast("string"), F.col("last_idx").cast("string")).alias("block_id"),
         "first_idx", "last_idx", "start", "end", F.col("text").alias("raw"), "clean",
     )

@@ -48,6 +48,8 @@ def lexicon_names(lexicon: DataFrame) -> DataFrame:
 
 # ---- containment ---------------------------------------------------------
 
+# Explodes of computed arrays are outer ones, with a null filter or join after: for an
+# inner explode the optimizer adds a filter that computes the array a second time.
 GRAM = 4
 
 
@@ -97,10 +99,10 @@ def contains_join(texts: DataFrame, keys: list[str], text: str, needles: DataFra
     anchors = n.select("_how", "_run").distinct()
     tagged = lambda runs, gap: F.transform(F.array_distinct(runs), lambda x: F.struct(F.lit(gap).alias("gap"), x.alias("w")))
     runs = F.concat(tagged(T.extract_all(F.col(text), T.WORDS), False), tagged(_gaps(F.col(text)), True))
-    seen = texts.select(*keys, F.explode(runs).alias("_r")).select(*keys, "_r.gap", "_r.w")
+    seen = texts.select(*keys, F.explode_outer(runs).alias("_r")).select(*keys, "_r.gap", "_r.w").filter("w is not null")
     vocabulary = balanced(seen.select("gap", "w").distinct(), "w")
     whole = anchors.filter("_how = 'whole'").select(F.lit(False).alias("gap"), F.col("_run").alias("w"), "_how", "_run")
-    parts = vocabulary.select("gap", "w", F.explode(_grams(F.col("w"))).alias("_g")).join(
+    parts = vocabulary.select("gap", "w", F.explode_outer(_grams(F.col("w"))).alias("_g")).join(
         anchors.filter("_how <> 'whole'").withColumn("_g", _first_gram(F.col("_run"))).withColumn("gap", F.col("_how") == "gap"), ["gap", "_g"]
     ).filter(F.contains("w", "_run")).select("gap", "w", "_how", "_run")
     met = seen.join(parts.unionByName(whole), ["gap", "w"]).select(*keys, "_how", "_run").distinct()
@@ -190,11 +192,11 @@ def fuzzy_pairs(words: DataFrame, names: DataFrame) -> DataFrame:
     names = names.select("term", "pos", F.lower("name").alias("_n")).filter(F.length("_n") >= 4)
     # a name gives at most 172 keys, so a bound on names bounds the broadcast
     hint = F.broadcast if is_small(names, 50_000) else (lambda df: df)
-    short = names.filter(F.length("_n") <= SHORT).select("*", F.explode(_deletions(F.col("_n"))).alias("_k"))
-    long = names.filter(F.length("_n") > SHORT).select("*", F.explode(_pieces_of_name(F.col("_n"))).alias("_k"))
+    short = names.filter(F.length("_n") <= SHORT).select("*", F.explode_outer(_deletions(F.col("_n"))).alias("_k"))
+    long = names.filter(F.length("_n") > SHORT).select("*", F.explode_outer(_pieces_of_name(F.col("_n"))).alias("_k"))
     w = F.col("word")
-    near = words.filter(F.length(w) <= SHORT + 2).select(w, F.explode(_deletions(w)).alias("_k"))
-    far = words.filter(F.length(w) > SHORT - 2).select(w, F.explode(_pieces_of_word(w)).alias("_k"))
+    near = words.filter(F.length(w) <= SHORT + 2).select(w, F.explode_outer(_deletions(w)).alias("_k"))
+    far = words.filter(F.length(w) > SHORT - 2).select(w, F.explode_outer(_pieces_of_word(w)).alias("_k"))
     close = (F.levenshtein(w, F.col("_n"), 2) >= 0) & (w != F.col("_n"))
     hits = near.join(hint(short), "_k").filter(close).unionByName(
         far.join(hint(long), "_k").filter(close)
@@ -211,7 +213,7 @@ def near_misses(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
     found = F.array_distinct(F.filter(
         T.extract_all(F.col(text), "[A-Za-zÀ-ÖØ-öø-ÿ]+"), lambda x: F.length(x) >= 4
     ))
-    used = texts.select(*keys, F.explode(found).alias("near_word")).withColumn("word", F.lower("near_word"))
+    used = texts.select(*keys, F.explode_outer(found).alias("near_word")).filter("near_word is not null").withColumn("word", F.lower("near_word"))
     # the distinct words are few bytes but much work: keep them on every core
     spellings = balanced(used.select("word").distinct(), "word")
     return used.join(fuzzy_pairs(spellings, names), "word").drop("word")
@@ -260,9 +262,9 @@ def ungrounded_entities(pairs: DataFrame, names: DataFrame) -> DataFrame:
     changed = pairs.filter(F.col("raw") != F.col("candidate")).withColumns({
         "_c": T.compare_words("candidate"), "_h": T.compare_words("raw"),
     })
-    new = changed.select(*keys, F.explode(F.array_except("_c", "_h")).alias("_w"))
+    new = changed.select(*keys, F.explode_outer(F.array_except("_c", "_h")).alias("_w"))
     short = new.join(known.filter("not _long"), "_w").select(*keys, "term")
-    every = changed.select(*keys, F.explode(F.array_distinct("_c")).alias("_w"))
+    every = changed.select(*keys, F.explode_outer(F.array_distinct("_c")).alias("_w"))
     long = every.join(known.filter("_long"), "_w").select(*keys, "term", "_n").join(changed.select(*keys, "_c"), keys)
     long = long.filter(F.contains(_padded(F.col("_c")), F.col("_n"))).select(*keys, "term")
     said = short.unionByName(long).distinct()
@@ -297,7 +299,7 @@ def shield_trusted(blocks: DataFrame, text: str, names: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(F.array_compact(heads))).alias("_w"),
     )
     python_pattern = F.replace(F.replace(F.replace("pattern", F.lit(r"[\p{L}\p{N}_]"), F.lit(r"\w")), F.lit("(?iu)"), F.lit("(?i)")), F.lit(r"\p{L}"), F.lit(r"\w"))
-    words = blocks.select(*keys, F.explode(F.array_distinct(T.compare_words(text))).alias("_w"))
+    words = blocks.select(*keys, F.explode_outer(F.array_distinct(T.compare_words(text))).alias("_w"))
     per_block = (
         words.join(broadcast_if_small(tried.withColumn("pattern", python_pattern)), "_w")
         .groupBy(*keys).agg(F.collect_set(F.struct("pattern", "key", "term")).alias("_names"))

@@ -138,7 +138,7 @@ def asr_issues(segments: DataFrame, *, empty_s: float = 8.0, long_s: float = 45.
             F.concat(F.lit("Segment de "), whole(F.col("_d")), F.lit(" s, largement au-dessus du typique.")),
         ),
     ))
-    return seg.select("doc_id", "seg_idx", "start", "end", F.explode(found).alias("f")).select(
+    return seg.select("doc_id", "seg_idx", "start", "end", F.explode_outer(found).alias("f")).filter("f is not null").select(
         "doc_id", "seg_idx", "start", "end", "f.issue", "f.detail"
     )
 

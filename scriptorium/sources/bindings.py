@@ -31,7 +31,8 @@ def sentences(text: Column) -> Column:
 def segments(spark, sf_dir, speakers: bool = True) -> DataFrame:
     """doc_id, seg_idx (1-based), start, end, text, speaker, role, confidence, lang, source."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", sentences(F.col("text")).alias("lines"))
-    rows = docs.select("doc_id", "lang", "source", F.posexplode("lines").alias("pos", "line"))
+    # outer: an inner explode makes the optimizer split every text once more, to test for none
+    rows = docs.select("doc_id", "lang", "source", F.posexplode_outer("lines").alias("pos", "line")).filter("pos is not null")
     idx = F.col("seg_idx")
     first_ms = (idx - 1) * 6000 + 1500 * F.floor((idx - 1) / 5)
     turn = F.floor((idx - 1) / 3) % 2
