@@ -36,16 +36,16 @@ def tolerant_json(c: Column | str, schema: str) -> Column:
     )
 
 
-def delimited_candidate(c: Column | str) -> Column:
-    """The last ``<transcription>`` envelope; none means no candidate."""
-    found = F.regexp_extract_all(_col(c), F.lit(r"(?is)<transcription>(.*?)</transcription>"), F.lit(1))
+def delimited_candidate(c: Column | str, tag: str = "revised") -> Column:
+    """The last envelope in ``tag``; none means no candidate."""
+    found = F.regexp_extract_all(_col(c), F.lit(rf"(?is)<{tag}>(.*?)</{tag}>"), F.lit(1))
     text = strip(F.try_element_at(found, F.lit(-1)))
     return F.when(text != "", text)
 
 
-def candidate(c: Column | str, structured: bool = False) -> Column:
+def candidate(c: Column | str, structured: bool = False, tag: str = "revised") -> Column:
     """The revised text of a response, never the whole response."""
-    plain = delimited_candidate(c)
+    plain = delimited_candidate(c, tag)
     if not structured:
         return plain
     text = strip(tolerant_json(c, "struct<text:string>")["text"])
@@ -67,23 +67,23 @@ def yaml_list(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(values, yaml_str), ", "), F.lit("]"))
 
 
-def safe_filename(name: Column | str, extension: str) -> Column:
+def safe_filename(name: Column | str, extension: str, default: str = "document") -> Column:
     path = F.regexp_replace(F.coalesce(_col(name), F.lit("")), r"\\", "/")
-    path = F.when(path == "", F.lit("transcription")).otherwise(F.regexp_replace(path, r"/+$", ""))
+    path = F.when(path == "", F.lit(default)).otherwise(F.regexp_replace(path, r"/+$", ""))
     base = F.substring_index(path, "/", -1)
     stem = F.when(base.rlike(r"^.+\.[^.]+$"), F.regexp_replace(base, r"\.[^.]+$", "")).otherwise(base)
     text = strip(F.regexp_replace(stem, r"[^\p{L}\p{N}_\- ]+", ""))
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", "-"), r"^-+|-+$", "")
-    text = F.when(text == "", F.lit("transcription")).otherwise(text)
+    text = F.when(text == "", F.lit(default)).otherwise(text)
     return F.concat(F.left(text, F.lit(80)), F.lit("." + extension))
 
 
-def filename_for(name: Column) -> Column:
+def filename_for(name: Column, default: str = "Document") -> Column:
     """A note name without characters that file systems refuse."""
     text = F.trim(F.regexp_replace(name, r'[\\/:*?"<>|\x00-\x1f]', ""))
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ .]+|[ .]+$", "")
     text = F.left(text, F.lit(150))
-    return F.when(text == "", F.lit("Transcription")).otherwise(text)
+    return F.when(text == "", F.lit(default)).otherwise(text)
 
 
 def safe_name(name: Column) -> Column:

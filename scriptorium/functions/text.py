@@ -105,42 +105,55 @@ def acronyms(c: Column | str) -> Column:
     return extract_all(_col(c), ACRONYM)
 
 
+def count_of(text: Column, piece: Column) -> Column:
+    """How often a literal piece stands in the text, none for an empty piece."""
+    shorter = F.length(text) - F.length(F.replace(text, piece, F.lit("")))
+    return F.when(F.length(piece) > 0, F.floor(shorter / F.length(piece))).otherwise(0).cast("int")
+
+
+def _uncovered(left: Column, right: Column, done) -> Column:
+    """``done`` of the items that ``left`` has more often: item, n more, place of the first one more.
+
+    Both sides are sorted into one list, the right side first among equal items; the work
+    grows with n log n.
+    """
+    tag = lambda items, side: F.transform(items, lambda x, i: F.struct(x.alias("v"), F.lit(side).alias("side"), i.alias("i")))
+    joined = F.array_sort(F.concat(tag(right, 0), tag(left, 1)))
+    at = lambda rows, k: F.get(rows, k)
+
+    def runs(rows):
+        size = F.size(rows)
+        index = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        opens = lambda k: (k == 0) | (at(rows, k - 1)["v"] != at(rows, k)["v"])
+        starts = F.filter(index, opens)
+        own = F.filter(index, lambda k: (at(rows, k)["side"] == 1) & (opens(k) | (at(rows, k - 1)["side"] == 0)))
+
+        def compare(found):
+            spans = F.transform(found["starts"], lambda s, j: F.struct(s.alias("s"), F.coalesce(F.get(found["starts"], j + 1), size).alias("e")))
+            spans = F.filter(spans, lambda r: at(rows, r["e"] - 1)["side"] == 1)  # runs that the left side has, as ``own`` lists them
+            more = F.zip_with(spans, found["own"], lambda r, m: F.struct(
+                at(rows, m)["v"].alias("v"), (r["e"] - m - (m - r["s"])).alias("n"), F.get(rows, m + m - r["s"])["i"].alias("i")
+            ))
+            return done(F.filter(more, lambda x: x["n"] > 0))
+
+        return let(F.struct(starts.alias("starts"), own.alias("own")), compare)
+
+    return let(joined, runs)
+
+
 def bag_missing(left: Column, right: Column) -> Column:
     """Items of ``left`` missing from ``right``, multiplicity counted, each once.
 
     An item is listed at the first occurrence the right side cannot cover.
     """
-    def listed(both):
-        a, b = both["a"], both["b"]
-
-        def uncovered(i):
-            item = F.element_at(a, i)
-            return F.size(F.filter(F.slice(a, 1, i), lambda y: y == item)) == (
-                F.size(F.filter(b, lambda y: y == item)) + 1
-            )
-
-        at = F.filter(F.sequence(F.lit(1), F.size(a)), uncovered)
-        return F.when(F.size(a) == 0, F.array().cast("array<string>")).otherwise(
-            F.transform(at, lambda i: F.element_at(a, i))
-        )
-
-    return let(F.struct(left.alias("a"), right.alias("b")), listed)
+    listed = lambda more: F.transform(F.array_sort(F.transform(more, lambda x: F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x["v"])
+    return _uncovered(left, right, listed)
 
 
 def missing_ratio(left: Column, right: Column) -> Column:
     """Share of the left bag that the right bag does not cover."""
-    def share(both):
-        a, b = both["a"], both["b"]
-        lost = F.aggregate(
-            F.array_distinct(a),
-            F.lit(0),
-            lambda acc, x: acc + F.greatest(
-                F.size(F.filter(a, lambda y: y == x)) - F.size(F.filter(b, lambda y: y == x)), F.lit(0)
-            ),
-        )
-        return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(lost / F.size(a))
-
-    return let(F.struct(left.alias("a"), right.alias("b")), share)
+    lost = _uncovered(left, right, lambda more: F.aggregate(more, F.lit(0), lambda n, x: n + x["n"]))
+    return F.when(F.size(left) == 0, F.lit(0.0)).otherwise(lost / F.size(left))
 
 
 # ---- folding and keys ----------------------------------------------------
@@ -283,6 +296,38 @@ def tail(c: Column | str, max_chars: int = 400) -> Column:
     )
 
 
+def missing_context(raw: Column | str, clean: Column | str, token: Column | str) -> Column:
+    """The revised text around the place where a lost token would stand; empty if it is not found.
+
+    Up to five words before and after the token are looked for, most words first: both
+    sides, then what follows, then what stands before. Only letters and digits count.
+    """
+    spoken, word = squeeze(raw), rf"{WORD}+"
+
+    def sides(v):
+        begin, end = F.substring(v["t"], 1, v["at"] - 1), F.substring(v["t"], v["at"] + F.length(v["k"]), F.length(v["t"]))
+        # a word that the token cuts is no neighbour
+        begin = F.when(v["k"].rlike(f"^{WORD}"), F.regexp_replace(begin, rf"{word}$", "")).otherwise(begin)
+        end = F.when(v["k"].rlike(f"{WORD}$"), F.regexp_replace(end, rf"^{word}", "")).otherwise(end)
+        return F.struct(F.reverse(extract_all(begin, word)).alias("b"), extract_all(end, word).alias("a"))
+
+    def tries(w):
+        def of(n):
+            left, right = F.array_join(F.reverse(F.slice(w["b"], 1, n)), " "), F.array_join(F.slice(w["a"], 1, n), " ")
+            return F.array(fingerprint(F.concat(left, right)), fingerprint(right), fingerprint(left))
+        return F.flatten(F.transform(F.sequence(F.lit(5), F.lit(1), F.lit(-1)), of))
+
+    def found(v):
+        hits = F.filter(F.transform(v["tries"], lambda t: F.when(F.length(t) >= 8, F.position(t, v["hay"]))), lambda p: p > 0)
+        letters = F.filter(F.transform(F.split(v["clean"], ""), lambda ch, i: F.when(ch.rlike(r"[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
+        return let(F.get(hits, F.lit(0)), lambda p: F.when(p.isNull(), F.lit("")).otherwise(excerpt_at(v["clean"], F.get(letters, p - 1))))
+
+    start = F.struct(spoken.alias("t"), _col(token).alias("k"), F.position(_col(token), spoken).alias("at"))
+    flat = squeeze(clean)
+    searched = lambda w: let(F.struct(tries(w).alias("tries"), fingerprint(flat).alias("hay"), flat.alias("clean")), found)
+    return let(start, lambda v: F.when(v["at"] > 0, let(sides(v), searched)).otherwise(F.lit("")))
+
+
 # ---- recogniser signals --------------------------------------------------
 
 def count_matches(c: Column, pattern: str) -> Column:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_PACK, SEVERITIES, RulePack
 from ..functions import text as T
-from ..functions.align import align, missing_context
-from ..session import broadcast_if_small
+from ..functions.align import align
 from .lexicon import lookup, near_misses
 
 LENGTH_ALERT = 0.62
@@ -60,7 +59,7 @@ def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context:
         is_cut = kind == "coupure"
         found = found.withColumns({
             "_a": align(only("raw", is_cut), only("clean", is_cut)),
-            "_m": missing_context(only("raw", ~is_cut), only("clean", ~is_cut), token),
+            "_m": T.missing_context(only("raw", ~is_cut), only("clean", ~is_cut), token),
         })
         raw_part = F.when(is_cut & F.col("_a.raw_start").isNotNull(), T.excerpt_at(F.col("raw"), F.col("_a.raw_start"))).otherwise(raw_part)
         clean_part = [F.when(is_cut, T.excerpt_at(F.col("clean"), F.col("_a.clean_start"))).otherwise(F.col("_m")).alias("clean_excerpt")]
@@ -73,7 +72,7 @@ def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context:
     # the lexicon pass needs only keys; the texts come back for the rows it finds
     near = near_misses(pairs.select("doc_id", "block_id", "clean"), "clean", names).drop("pos")
     short = F.max("short") if "short" in names.columns else F.max(F.lit(""))
-    near = near.join(broadcast_if_small(names.groupBy("term").agg(short.alias("short"))), "term")
+    near = near.join(names.groupBy("term").agg(short.alias("short")), "term")
     near = near.join(pairs.select("doc_id", "block_id", "start", "raw", "clean"), ["doc_id", "block_id"])
     message = F.concat(F.lit("« "), "near_word", F.lit(" » ressemble à « "), "term", F.lit(" »"), "short", F.lit(" sans lui être identique : graphie à vérifier."))
     lexical = near.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields, text as T
 from ..functions.align import mask_names
-from ..session import balanced, broadcast_if_small, is_small
+from ..session import balanced
 
 
 def load_lexicon(base: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def resolve_exact(citations: DataFrame, names: DataFrame) -> DataFrame:
         .select("name_key", "term")
     )
     keyed = citations.withColumn("name_key", T.norm_key("citation")).filter(F.col("name_key") != "")
-    return keyed.join(broadcast_if_small(unique), "name_key").drop("name_key")
+    return keyed.join(unique, "name_key").drop("name_key")
 
 
 def reference_match(citations: DataFrame, lexicon: DataFrame, min_len: int = 10) -> DataFrame:
@@ -191,15 +191,14 @@ def fuzzy_pairs(words: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct lower-case ``word`` and the first term whose name is 1-2 edits away."""
     names = names.select("term", "pos", F.lower("name").alias("_n")).filter(F.length("_n") >= 4)
     # a name gives at most 172 keys, so a bound on names bounds the broadcast
-    hint = F.broadcast if is_small(names, 50_000) else (lambda df: df)
     short = names.filter(F.length("_n") <= SHORT).select("*", F.explode_outer(_deletions(F.col("_n"))).alias("_k"))
     long = names.filter(F.length("_n") > SHORT).select("*", F.explode_outer(_pieces_of_name(F.col("_n"))).alias("_k"))
     w = F.col("word")
     near = words.filter(F.length(w) <= SHORT + 2).select(w, F.explode_outer(_deletions(w)).alias("_k"))
     far = words.filter(F.length(w) > SHORT - 2).select(w, F.explode_outer(_pieces_of_word(w)).alias("_k"))
     close = (F.levenshtein(w, F.col("_n"), 2) >= 0) & (w != F.col("_n"))
-    hits = near.join(hint(short), "_k").filter(close).unionByName(
-        far.join(hint(long), "_k").filter(close)
+    hits = near.join(short, "_k").filter(close).unionByName(
+        far.join(long, "_k").filter(close)
     )
     return hits.groupBy("word").agg(F.min_by(F.struct("term", "pos"), "pos").alias("t")).select("word", "t.term", "t.pos")
 
@@ -228,13 +227,9 @@ def grounding_hints(texts: DataFrame, text: str, names: DataFrame, limit: int =
     return miss.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit).drop("_l")
 
 
-def hint_text(hints: DataFrame, keys: list[str]) -> DataFrame:
+def hint_text(hints: DataFrame, keys: list[str], head: str = "Termes proches (à confirmer par l'écoute) :\n") -> DataFrame:
     """The hints of a block as one note (at most eight lines)."""
-    line = F.concat(F.lit("- « "), "near_word", F.lit(" » entendu dans ce passage : graphie probable « "), "term", F.lit(" »"))
-    head = (
-        "Repères terminologiques pour CE passage précis (à utiliser seulement si l'audio le confirme ; "
-        "ne remplace jamais un mot sur cette seule base) :\n"
-    )
+    line = F.concat(F.lit("- « "), "near_word", F.lit(" » → « "), "term", F.lit(" » ?"))
     rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("t"))))
     return hints.groupBy(*keys).agg(F.concat(F.lit(head), F.array_join(F.transform(rows, lambda r: r["t"]), "\n")).alias("hints"))
 
@@ -256,7 +251,6 @@ def ungrounded_entities(pairs: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select(
         "term", _padded(name_words).alias("_n"), F.try_element_at(name_words, F.lit(1)).alias("_w"), (F.size(name_words) > 1).alias("_long")
     ).filter(F.col("_w").isNotNull()).distinct()
-    known = broadcast_if_small(known)
 
     # an unchanged text introduces nothing; a one-word name only as a new word
     changed = pairs.filter(F.col("raw") != F.col("candidate")).withColumns({
@@ -301,7 +295,7 @@ def shield_trusted(blocks: DataFrame, text: str, names: DataFrame) -> DataFrame:
     python_pattern = F.replace(F.replace(F.replace("pattern", F.lit(r"[\p{L}\p{N}_]"), F.lit(r"\w")), F.lit("(?iu)"), F.lit("(?i)")), F.lit(r"\p{L}"), F.lit(r"\w"))
     words = blocks.select(*keys, F.explode_outer(F.array_distinct(T.compare_words(text))).alias("_w"))
     per_block = (
-        words.join(broadcast_if_small(tried.withColumn("pattern", python_pattern)), "_w")
+        words.join(tried.withColumn("pattern", python_pattern), "_w")
         .groupBy(*keys).agg(F.collect_set(F.struct("pattern", "key", "term")).alias("_names"))
     )
     out = blocks.join(per_block, keys, "left").withColumn("_m", mask_names(F.col(text), F.col("_names")))

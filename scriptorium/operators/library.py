@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.timing import clock
 
 LIGHT = ("doc_id", "filename", "title", "status", "stage", "created_at", "duration", "note_path", "tags")
 
 
-def library_view(jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest first without the heavy columns: pruned at the scan, top-n without a full sort."""
-    return jobs.select(*[c for c in LIGHT if c in jobs.columns]).orderBy(F.desc("created_at"), "doc_id").limit(limit)
+def _newest(rows: DataFrame, limit: int | None) -> DataFrame:
+    ordered = rows.orderBy(F.desc("created_at"), "doc_id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def library_view(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest first without the heavy columns: pruned at the scan, with a limit top-n without a full sort."""
+    return _newest(jobs.select(*[c for c in LIGHT if c in jobs.columns]), limit)
 
 
 def library_filter(jobs: DataFrame, as_of: Column, *, status: str | None = None, days: float | None = None, tag: str | None = None) -> DataFrame:
@@ -31,20 +35,19 @@ def _like(query: str) -> str:
     return "%" + query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
 
 
-def search_docs(jobs: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search_docs(jobs: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """Documents with the query in a name or text; wild cards in it are literal."""
     hit = lambda c: F.coalesce(F.col(c).ilike(_like(query)), F.lit(False))
     found = jobs.filter(hit("filename") | hit("title") | hit("raw_text") | hit("clean_text"))
     return library_view(found, limit)
 
 
-def search_passages(jobs: DataFrame, blocks: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search_passages(jobs: DataFrame, blocks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """First matching passage per document with its time, newest documents first.
 
     Blocks that match are counted and reduced before the shuffle.
     """
     needle = query.strip().lower()
-    limit = max(1, min(int(limit), 100))
     inside = lambda c: F.contains(F.lower(c), F.lit(needle))
     hits = blocks.filter(inside("text")).groupBy("doc_id").agg(
         F.min_by(F.struct("text", "start", "end"), "pos").alias("b"), F.count("*").alias("n")
@@ -54,10 +57,10 @@ def search_passages(jobs: DataFrame, blocks: DataFrame, query: str, limit: int =
     at = F.position(F.lit(needle), F.lower("_x")) - 1
     first = F.greatest(F.lit(0), at - 70)
     excerpt = T.strip(F.substring("_x", first + 1, at + len(query) + 110 - first))
-    return both.select(
+    return _newest(both.select(
         "doc_id", F.coalesce("title", "filename").alias("title"), excerpt.alias("match_text"),
         F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.coalesce("n", F.lit(1)).cast("bigint").alias("match_count"), "created_at",
-    ).orderBy(F.desc("created_at"), "doc_id").limit(limit)
+    ), limit)
 
 
 def editor_matches(blocks: DataFrame, query: str) -> DataFrame:
@@ -126,9 +129,10 @@ def split_annotations(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 
-def resumable_jobs(jobs: DataFrame) -> DataFrame:
+def resumable_jobs(jobs: DataFrame, first_stage: str = "extraction") -> DataFrame:
+    """Unfinished jobs, oldest first; one without a stage starts at ``first_stage``."""
     return jobs.filter(F.col("status").isin("queued", "running")).select(
-        "doc_id", F.coalesce(F.nullif("stage", F.lit("")), F.lit("transcription")).alias("stage"), "created_at"
+        "doc_id", F.coalesce(F.nullif("stage", F.lit("")), F.lit(first_stage)).alias("stage"), "created_at"
     ).orderBy("created_at", "doc_id")
 
 
@@ -165,11 +169,8 @@ def entities_by_field(entities: DataFrame) -> DataFrame:
     return once.groupBy("doc_id", "field").agg(F.transform(rows, lambda r: r["link"]).alias("links"))
 
 
-def search_notes(notes: DataFrame, query: str, limit: int = 50) -> DataFrame:
+def search_notes(notes: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     key = T.norm_title(F.lit(query))
     text = T.norm_title(F.concat_ws(" ", "title", "aliases"))
-    return notes.filter(F.contains(text, key)).orderBy("path").limit(limit)
-
-
-def clock_column(seconds: Column) -> Column:
-    return clock(seconds)
+    found = notes.filter(F.contains(text, key)).orderBy("path")
+    return found if limit is None else found.limit(limit)

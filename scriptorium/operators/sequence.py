@@ -200,24 +200,23 @@ def neighbour_bounds(blocks: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 def first_occurrence(claims: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
     """The first claim of each key; combined map-side, so a hot key is cheap."""
     rest = [c for c in claims.columns if c not in keys]
-    first = claims.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("v"))
+    ties = [c for c in (order, "doc_id", "citation") if c in rest]
+    first = claims.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*ties)).alias("v"))
     return first.select(*keys, *[F.col("v")[c].alias(c) for c in rest])
 
 
 def nearest_occurrence(text: Column, piece: Column, target: Column) -> Column:
-    """0-based place of the occurrence of ``piece`` closest to ``target``, or -1."""
-    cuts = F.split(text, F.concat(F.lit("\\Q"), piece, F.lit("\\E")), -1)
-    size = F.length(piece)
-    places = F.aggregate(
-        F.slice(cuts, 1, F.size(cuts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x) + size).alias("at"), F.array_append(a["all"], a["at"] + F.length(x)).alias("all")
-        ),
-        lambda a: a["all"],
-    )
-    best = F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - target).alias("d"), p.alias("p"))))["p"]
-    return F.when((size == 0) | (F.size(cuts) < 2), F.lit(-1)).otherwise(best)
+    """0-based place of the occurrence of ``piece`` closest to ``target``, or -1; ties go to the first."""
+    def closer(best, _):
+        at = F.position(piece, text, best["from"])
+        nearer = best["at"].isNull() | (F.abs(at - 1 - target) < F.abs(best["at"] - target))
+        return F.struct((at + F.length(piece)).alias("from"), F.when(nearer, at - 1).otherwise(best["at"]).alias("at"))
+
+    def search(n):
+        start = F.struct(F.lit(1).alias("from"), F.lit(None).cast("int").alias("at"))
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, closer, lambda best: best["at"])).otherwise(F.lit(-1))
+
+    return T.let(F.coalesce(T.count_of(text, piece), F.lit(0)), search)
 
 
 def subtitle_text(text: Column, speaker: Column, width: int = 42) -> Column:

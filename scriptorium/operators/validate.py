@@ -125,20 +125,19 @@ def loose_gate(pairs: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     })
 
 
-def rejection_findings(decided: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
-    """A refused candidate becomes a visible finding with readable labels."""
+def rejection_findings(
+    decided: DataFrame, pack: RulePack = DEFAULT_PACK, *, message: str = "Révision refusée ({model}), texte brut nettoyé gardé. Motifs : {reasons}.", source: str = "validator",
+) -> DataFrame:
+    """A refused candidate becomes a visible finding with readable labels; ``message`` may name {model} and {reasons}."""
     labels = F.create_map(*[F.lit(x) for kv in pack.labels.items() for x in kv])
     reasons = F.filter(F.split(F.coalesce("reject_reason", F.lit("")), ","), lambda x: x != "")
     named = F.transform(reasons, lambda x: F.coalesce(F.try_element_at(labels, x), x))
-    words = F.when(F.size(reasons) == 0, F.lit("motif non déterminé")).otherwise(F.array_join(named, ", "))
+    words = F.when(F.size(reasons) == 0, F.lit("sans motif connu")).otherwise(F.array_join(named, ", "))
     model = F.coalesce(F.col("model") if "model" in decided.columns else F.lit(None), F.lit("modèle inconnu"))
-    message = F.concat(
-        F.lit("Relecture NVIDIA NIM ("), model,
-        F.lit(") rejetée pour ce bloc et remplacée par le texte brut nettoyé mécaniquement : "), words, F.lit("."),
-    )
+    said = F.replace(F.replace(F.lit(message), F.lit("{model}"), model), F.lit("{reasons}"), words)
     return decided.filter("validation_status = 'invalid'").select(
         "doc_id", "block_id", F.lit("candidat_rejete").alias("kind"), F.lit("moyenne").alias("severity"),
-        message.alias("message"), F.lit(0.0).alias("start"), F.lit("nim_validator").alias("source"),
+        said.alias("message"), F.lit(0.0).alias("start"), F.lit(source).alias("source"),
     )
 
 

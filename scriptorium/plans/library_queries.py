@@ -17,7 +17,7 @@ AS_OF = "2024-03-05 00:00:00"
 
 @query("library_view", with_(B.JOBS) + "SELECT doc_id, filename, title, status, created_at FROM jobs ORDER BY created_at DESC, doc_id LIMIT 100")
 def library_view(spark, d):
-    return Y.library_view(B.jobs(spark, d)).select("doc_id", "filename", "title", "status", "created_at")
+    return Y.library_view(B.jobs(spark, d), 100).select("doc_id", "filename", "title", "status", "created_at")
 
 
 @query(
@@ -28,7 +28,7 @@ def library_filter(spark, d):
     return Y.library_filter(B.jobs(spark, d), F.lit(AS_OF), status="done", days=30, tag="SRC1").select("doc_id", "status", "created_at")
 
 
-@query("search_docs", with_(B.JOBS) + "SELECT doc_id, title FROM jobs WHERE contains(lower(filename), 'tion the') OR contains(lower(title), 'tion the') OR contains(lower(raw_text), 'tion the') OR contains(lower(clean_text), 'tion the') ORDER BY created_at DESC, doc_id LIMIT 50")
+@query("search_docs", with_(B.JOBS) + "SELECT doc_id, title FROM jobs WHERE contains(lower(filename), 'tion the') OR contains(lower(title), 'tion the') OR contains(lower(raw_text), 'tion the') OR contains(lower(clean_text), 'tion the')")
 def search_docs(spark, d):
     return Y.search_docs(B.jobs(spark, d), "Tion The").select("doc_id", "title")
 
@@ -45,10 +45,10 @@ hit AS (SELECT doc_id, arg_min(text, pos) AS text, arg_min("start", pos) AS "sta
       SELECT *, greatest(0, pz - 70) AS f FROM (SELECT *, instr(lower(x), 'der er') - 1 AS pz FROM (
         SELECT j.doc_id, coalesce(title, filename) AS title, created_at, "start", "end", n,
           coalesce(hit.text, CASE WHEN contains(lower(title), 'der er') THEN title END, CASE WHEN contains(lower(clean_text), 'der er') THEN clean_text END, CASE WHEN contains(lower(raw_text), 'der er') THEN raw_text END) AS x
-        FROM jobs j LEFT JOIN hit USING (doc_id)) WHERE x IS NOT NULL)) ORDER BY created_at DESC, doc_id LIMIT 100""",
+        FROM jobs j LEFT JOIN hit USING (doc_id)) WHERE x IS NOT NULL))""",
 )
 def search_passages(spark, d):
-    return Y.search_passages(B.jobs(spark, d), Q.speaker_turns(B.segments(spark, d)), "Der er", 500).drop("created_at")
+    return Y.search_passages(B.jobs(spark, d), Q.speaker_turns(B.segments(spark, d)), "Der er").drop("created_at")
 
 
 @query("editor_matches", with_(B.SEG) + "SELECT doc_id, 'segment-' || seg_idx AS block_id FROM seg WHERE contains(lower(text), 'tion')")
@@ -124,7 +124,7 @@ def library_with_pending(spark, d):
     return J.with_pending(B.jobs(spark, d).select("doc_id", "status"), Y.pending_annotations(annotations(spark, d)))
 
 
-@query("resumable_jobs", with_(B.JOBS) + "SELECT doc_id, coalesce(stage, 'transcription') AS stage, created_at FROM jobs WHERE status IN ('queued', 'running')")
+@query("resumable_jobs", with_(B.JOBS) + "SELECT doc_id, coalesce(stage, 'extraction') AS stage, created_at FROM jobs WHERE status IN ('queued', 'running')")
 def resumable_jobs(spark, d):
     return Y.resumable_jobs(B.jobs(spark, d))
 
@@ -179,7 +179,7 @@ def models_used(spark, d):
     return Y.models_used(b).withColumn("models", F.array_join("models", ","))
 
 
-@query("search_notes", with_(B.NOTES) + "SELECT path, title FROM notes WHERE contains(lower(strip_accents(title)) || ' ' || lower(strip_accents(array_to_string(aliases, ' '))), 'ti') AND true ORDER BY path LIMIT 50")
+@query("search_notes", with_(B.NOTES) + "SELECT path, title FROM notes WHERE contains(lower(strip_accents(title)) || ' ' || lower(strip_accents(array_to_string(aliases, ' '))), 'ti')")
 def search_notes(spark, d):
     return Y.search_notes(B.notes(spark, d), "Ti").select("path", "title")
 

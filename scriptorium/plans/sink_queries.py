@@ -65,37 +65,61 @@ fl AS (SELECT doc_id, 4 * {SEC} + 1 + CASE severity WHEN 'haute' THEN 0 WHEN 'mo
     "render_markdown",
     with_(B.SEG, B.PAIR, PLAIN, B.JOBS, COURSE, LINES)
     + f"""SELECT * FROM course UNION ALL SELECT doc_id, seq, line FROM fl
-      UNION ALL SELECT DISTINCT doc_id, 4 * {SEC}, chr(10) || '## Points à vérifier' || chr(10) || chr(10) || '_Signalés par la vérification automatique : à confronter à l''enregistrement._' || chr(10) FROM find""",
+      UNION ALL SELECT DISTINCT doc_id, 4 * {SEC}, chr(10) || '## À contrôler' || chr(10) || chr(10) || '_Relevés par les règles ; l''enregistrement tranche._' || chr(10) FROM find""",
 )
 def render_markdown(spark, d):
     return R.render("md", B.jobs(spark, d), B.segments(spark, d), editorial(spark, d), N.rule_findings(B.pairs(spark, d)))
 
 
-@query("render_json", with_(B.JOBS) + "SELECT doc_id, filename AS fichier, title AS titre, duration AS duree, md5(raw_text) AS h FROM jobs")
+@query(
+    "render_json",
+    with_(B.SEG, B.PAIR, PLAIN, B.JOBS)
+    + """SELECT doc_id, filename AS fichier, title AS titre, duration AS duree, CASE WHEN doc_id % 2 = 0 THEN 'point ' || doc_id || '|' || tags[1] ELSE '' END AS resume, md5(raw_text) AS brut,
+      md5(coalesce(clean_text, raw_text)) AS relu, coalesce(n_segments, 0) AS n_segments, coalesce(segment_texts, md5('')) AS segment_texts, coalesce(n_segments, 0) AS n_blocks,
+      coalesce(haute, 0) AS haute, coalesce(moyenne, 0) AS moyenne, coalesce(n_find, 0) AS n_findings
+    FROM jobs LEFT JOIN (SELECT doc_id, count(*) AS n_segments, md5(string_agg(text, '|' ORDER BY seg_idx)) AS segment_texts FROM seg GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) FILTER (severity = 'haute') AS haute, count(*) FILTER (severity = 'moyenne') AS moyenne, count(*) AS n_find FROM find GROUP BY doc_id) USING (doc_id)""",
+)
 def render_json(spark, d):
-    out = R.render_json(B.jobs(spark, d), editorial(spark, d))
-    parsed = out.withColumn("j", F.from_json("content", "fichier string, titre string, duree_secondes double, texte_brut string"))
-    return parsed.select("doc_id", "j.fichier", "j.titre", F.col("j.duree_secondes").alias("duree"), F.md5("j.texte_brut").alias("h"))
+    """The files, joined from their pieces and parsed again."""
+    seg = B.segments(spark, d).select("doc_id", "seg_idx", "start", "end", "text", "speaker")
+    blocks = seg.select("doc_id", F.col("seg_idx").alias("pos"), F.concat(F.lit("segment-"), F.col("seg_idx").cast("string")).alias("block_id"), "text")
+    files = R.whole(R.render_json(B.jobs(spark, d), editorial(spark, d), seg, blocks, N.rule_findings(B.pairs(spark, d))))
+    shape = (
+        "fichier string, titre string, duree_secondes double, resume array<string>, texte_brut string, texte_relu array<string>, segments array<struct<text:string>>, "
+        "blocs_revision array<struct<block_id:string>>, verification struct<haute:bigint,moyenne:bigint,constats:array<struct<kind:string>>>"
+    )
+    j = files.select("doc_id", F.from_json("content", shape, {"mode": "FAILFAST"}).alias("j"))
+    size = lambda c: F.size(c).cast("bigint")
+    return j.select(
+        "doc_id", "j.fichier", "j.titre", F.col("j.duree_secondes").alias("duree"), F.array_join("j.resume", "|").alias("resume"), F.md5("j.texte_brut").alias("brut"),
+        F.md5(F.array_join("j.texte_relu", "\n\n")).alias("relu"), size("j.segments").alias("n_segments"),
+        F.md5(F.array_join(F.transform("j.segments", lambda s: s["text"]), "|")).alias("segment_texts"), size("j.blocs_revision").alias("n_blocks"),
+        "j.verification.haute", "j.verification.moyenne", size("j.verification.constats").alias("n_findings"),
+    )
 
 
 @query(
-    "render_verbatim",
+    "render_raw_turns",
     with_(B.SEG, TURNS, B.JOBS)
-    + f"""SELECT doc_id, 0::BIGINT AS seq, '---' || chr(10) || 'type: verbatim' || chr(10) || 'titre: ' || coalesce(title, filename) || chr(10) || 'date: ' || strftime(created_at, '%Y-%m-%d') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# ' || coalesce(title, filename) || ' (verbatim)' || chr(10) AS content FROM jobs
+    + f"""SELECT doc_id, 0::BIGINT AS seq, '---' || chr(10) || 'type: brut' || chr(10) || 'titre: ' || coalesce(title, filename) || chr(10) || 'date: ' || strftime(created_at, '%Y-%m-%d') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# ' || coalesce(title, filename) || ' (brut)' || chr(10) AS content FROM jobs
       UNION ALL SELECT doc_id, {SEC} + (pos - 1) // 2048, string_agg('**[' || lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad(((s // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') || '] ' || coalesce(speaker, 'Locuteur') || '** — ' || text || chr(10), chr(10) ORDER BY pos)
       FROM (SELECT *, floor("start")::BIGINT AS s FROM turns) GROUP BY doc_id, (pos - 1) // 2048""",
 )
-def render_verbatim(spark, d):
-    return R.render_verbatim(B.jobs(spark, d), B.segments(spark, d))
+def render_raw_turns(spark, d):
+    return R.render_raw_turns(B.jobs(spark, d), B.segments(spark, d))
 
 
 @query(
     "render_flashcards",
-    with_(B.SEG) + f"SELECT doc_id, {SEC} + (seg_idx - 1) // 2048 AS seq, string_agg(split_part(text, ' ', 1) || '::' || role, chr(10) ORDER BY seg_idx) AS content FROM seg WHERE split_part(text, ' ', 1) <> '' AND seg_idx % 3 = 0 GROUP BY ALL",
+    with_(B.SEG, B.JOBS)
+    + f"""SELECT doc_id, {SEC} + (seg_idx - 1) // 2048 AS seq, string_agg(split_part(text, ' ', 1) || '::' || role, chr(10) ORDER BY seg_idx) AS content FROM seg WHERE split_part(text, ' ', 1) <> '' AND seg_idx % 3 = 0 GROUP BY ALL
+      UNION ALL SELECT doc_id, 0, '---' || chr(10) || 'type: revision' || chr(10) || 'titre: ' || t || chr(10) || 'date: ' || strftime(created_at, '%Y-%m-%d') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# ' || t || ' — Révision' || chr(10) || chr(10) || '## Flashcards' || chr(10)
+      FROM (SELECT *, coalesce(title, filename) AS t FROM jobs) WHERE doc_id IN (SELECT doc_id FROM seg)""",
 )
 def render_flashcards(spark, d):
     cards = B.segments(spark, d).select("doc_id", F.col("seg_idx").alias("pos"), F.when(F.col("seg_idx") % 3 == 0, F.substring_index("text", " ", 1)).otherwise(" ").alias("recto"), F.col("role").alias("verso"))
-    return R.render_flashcards(B.jobs(spark, d), cards).filter(F.col("seq") > 0)
+    return R.render_flashcards(B.jobs(spark, d), cards)
 
 
 @query("render_note")
@@ -107,9 +131,9 @@ def render_note(spark, d):
 
 
 @query("note_status", with_(B.SEG, B.CLAIM, VERD, B.JOBS) + """SELECT doc_id, CASE WHEN status NOT IN ('checked', 'published') THEN 'non_verifie' WHEN n > 0 THEN 'incertain' ELSE 'verifie' END AS note_status FROM jobs
-   LEFT JOIN (SELECT doc_id, count(*) AS n FROM verd WHERE verdict = 'infirme' AND pos < 40000 GROUP BY doc_id) USING (doc_id)""")
+   LEFT JOIN (SELECT doc_id, count(*) AS n FROM verd WHERE verdict = 'infirme' GROUP BY doc_id) USING (doc_id)""")
 def note_status(spark, d):
-    v = verdicts(spark, d).filter("verdict = 'infirme' and pos < 40000").select("doc_id", F.lit("fait").alias("kind"))
+    v = verdicts(spark, d).filter("verdict = 'infirme'").select("doc_id", F.lit("fait").alias("kind"))
     jobs = B.jobs(spark, d).withColumn("fact_checked", F.lit(True)).join(Y.uncertain_points(v), "doc_id", "left")
     return jobs.select("doc_id", R.note_status().alias("note_status"))
 
@@ -199,7 +223,7 @@ def publish(spark, d):
     parts = X.publish(jobs, B.segments(spark, d), editorial(spark, d), facts, verdict_entities(v), B.notes(spark, d), B.lexicon(spark, d))
     one = lambda name, c: parts[name].select(F.lit(name).alias("part"), c.cast("string").alias("item"))
     return (
-        one("notes", F.concat_ws("/", "doc_id", "seq")).unionByName(one("verbatim", F.concat_ws("/", "doc_id", "seq")))
+        one("notes", F.concat_ws("/", "doc_id", "seq")).unionByName(one("raw_turns", F.concat_ws("/", "doc_id", "seq")))
         .unionByName(one("entities", F.col("path"))).unionByName(one("index", F.col("line")))
         .unionByName(one("glossary", F.col("term"))).unionByName(one("jobs", F.col("doc_id")))
     )

@@ -11,11 +11,12 @@ from ..functions.align import opcodes
 from ..session import shared_dir
 from ..sources import bindings as B, readers
 from ..streaming import feeds as S
+from .findings_queries import FULL, names
 from .registry import query, with_
 
 COLS = ("job_id", "event_id", "ts", "status", "stage", "progress")
-PREV = "pv AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS previous FROM ev)"
-CHANGES = "SELECT job_id, event_id, status FROM pv WHERE previous IS NULL OR previous <> status"
+PREV = "pv AS (SELECT *, lag(status) OVER w AS previous, lag(stage) OVER w AS previous_stage, lag(progress) OVER w AS previous_progress FROM ev WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))"
+CHANGES = "SELECT job_id, event_id, status FROM pv WHERE (previous, previous_stage, previous_progress) IS DISTINCT FROM (status, stage, progress)"
 
 
 def events(spark, d):
@@ -76,7 +77,7 @@ def live_events(spark, d):
     schema = B.table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     status = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "queued", "view", "running", "click", "transcribed", "purchase", "done", "error", "error")]), F.col("event_type"))
-    return raw.select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.col("event_type").alias("stage"), (F.col("value") / 100).alias("progress"))
+    return raw.select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.col("event_type").alias("stage"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / 100)).alias("progress"))
 
 
 @query("stream_status_feed", with_(B.EV, PREV) + CHANGES)
@@ -100,6 +101,15 @@ def stream_progression(spark, d):
     return run_once(S.stream_progression(live_events(spark, d)), "steps").select("job_id", "event_id")
 
 
+@query("stream_findings", with_(B.SEG, B.PAIR, B.LEX, B.LEX_NAMES, FULL) + "SELECT doc_id, block_id, kind, severity, message FROM find")
+def stream_findings(spark, d):
+    """Findings as documents arrive, written batch by batch and read again."""
+    raw = spark.readStream.schema(B.table(spark, d, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    base = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    S.write_findings(B.pairs_of(B.segments_of(raw, False)), names(spark, d), base + "/rows", base + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(base + "/rows").select("doc_id", "block_id", "kind", "severity", "message")
+
+
 @query("word_opcodes")
 def word_opcodes(spark, d):
     p = B.pairs(spark, d).withColumn("o", opcodes("raw", "clean"))

@@ -78,8 +78,8 @@ seg_query(
 )
 seg_query(
     "slug",
-    lambda: [T.slug(F.substring("text", 1, 80)).alias("slug")],
-    r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(substring(text, 1, 80)), '[^\x00-\x7f]', '', 'g')), '[^a-z0-9\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'cours') AS slug",
+    lambda: [T.slug("text").alias("slug")],
+    r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7f]', '', 'g')), '[^a-z0-9\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'cours') AS slug",
 )
 docs_query("word_tokens", lambda: [F.size(T.tokens("text")).cast("bigint").alias("n_tokens"), F.md5(F.array_join(T.tokens("text"), " ")).alias("h")],
            f"len({S.tokens('text')})::BIGINT AS n_tokens, md5(array_to_string({S.tokens('text')}, ' ')) AS h")
@@ -149,7 +149,7 @@ seg_query(
 seg_query(
     "safe_filename",
     lambda: [fields.safe_filename(F.concat(F.col("source"), F.lit("/"), F.col("text")), "md").alias("download"), fields.filename_for(F.concat(F.lit("2024-01-01 — "), F.col("text"))).alias("note"), fields.safe_name("text").alias("entity")],
-    r"""(SELECT substring(coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_replace(stem, '[^\p{L}\p{N}_\- ]+', '', 'g')), '\s+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'transcription'), 1, 80) || '.md'
+    r"""(SELECT substring(coalesce(nullif(regexp_replace(regexp_replace(trim(regexp_replace(stem, '[^\p{L}\p{N}_\- ]+', '', 'g')), '\s+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document'), 1, 80) || '.md'
          FROM (SELECT CASE WHEN regexp_full_match(b, '(?s)(.+)\.[^.]+') THEN regexp_replace(b, '(?s)\.[^.]+$', '') ELSE b END AS stem
                FROM (SELECT string_split(p, '/')[-1] AS b FROM (SELECT regexp_replace(source || '/' || text, '/+$', '') AS p)))) AS download,
         substring(regexp_replace(regexp_replace(trim(regexp_replace('2024-01-01 — ' || text, '[\\/:*?"<>|\x00-\x1f]', '', 'g')), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 150) AS note,

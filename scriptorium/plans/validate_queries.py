@@ -77,8 +77,8 @@ def loose_gate(spark, d):
 
 RESP = r"""
 resp AS (SELECT doc_id, seg_idx, text, CASE seg_idx % 5
-   WHEN 0 THEN text WHEN 1 THEN '<transcription>draft</transcription> then <Transcription> ' || text || ' </transcription>'
-   WHEN 2 THEN '<transcription>  </transcription>' WHEN 3 THEN 'Here: ```json ' || chr(10) || '{"text": "ok ' || seg_idx || '"}' || chr(10) || '```' ELSE 'x {"text": "in ' || seg_idx || '"} y' END AS response FROM seg)
+   WHEN 0 THEN text WHEN 1 THEN '<revised>draft</revised> then <Revised> ' || text || ' </revised>'
+   WHEN 2 THEN '<revised>  </revised>' WHEN 3 THEN 'Here: ```json ' || chr(10) || '{"text": "ok ' || seg_idx || '"}' || chr(10) || '```' ELSE 'x {"text": "in ' || seg_idx || '"} y' END AS response FROM seg)
 """
 
 
@@ -92,8 +92,8 @@ def candidates_from_responses(spark, d):
     n = i.cast("string")
     resp = (
         F.when(i % 5 == 0, F.col("text"))
-        .when(i % 5 == 1, F.concat(F.lit("<transcription>draft</transcription> then <Transcription> "), "text", F.lit(" </transcription>")))
-        .when(i % 5 == 2, "<transcription>  </transcription>")
+        .when(i % 5 == 1, F.concat(F.lit("<revised>draft</revised> then <Revised> "), "text", F.lit(" </revised>")))
+        .when(i % 5 == 2, "<revised>  </revised>")
         .when(i % 5 == 3, F.concat(F.lit('Here: ```json \n{"text": "ok '), n, F.lit('"}\n```')))
         .otherwise(F.concat(F.lit('x {"text": "in '), n, F.lit('"} y')))
     )

@@ -1,4 +1,4 @@
-"""Session helpers: defaults for local runs, checkpoint folder, size-checked broadcast."""
+"""Session helpers: defaults for local runs, checkpoint folder, spreading of rows."""
 
 from __future__ import annotations
 
@@ -52,18 +52,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, max_rows: int = 100_000) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows.
-
-    A larger side comes back without hint and joins by shuffle.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Split a scan that has fewer partitions than the session has cores.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields, text as T
 from ..operators.claims import latest
+from ..session import checkpointed
 from . import render as R
 
 
@@ -33,20 +34,44 @@ def course_path(jobs: DataFrame) -> Column:
 
 
 def export_courses(jobs: DataFrame, editorial: DataFrame, root: str | None = None, buckets: int = 64) -> DataFrame:
-    """Course files of finished documents; a re-run replaces a document's old file.
+    """Course files of finished documents: doc_id, seq, content, path, bucket.
 
-    A document's bucket holds all its rows whatever its title, so overwriting
-    the bucket cannot leave a stale name beside the new one.
+    With ``root``, the documents of ``jobs`` are merged into the files there: their old rows
+    go, whatever their title was, those of other documents in the same buckets stay. A
+    document that is no longer finished leaves one row without content, so that its bucket
+    is written again; ``read_courses`` leaves such rows out. The rows to keep are
+    checkpointed before their buckets are replaced.
     """
     done = jobs.filter(F.col("status").isin("done", "checked", "published"))
     pieces = R.render_course(done, editorial.join(done.select("doc_id"), "doc_id", "left_semi"))
     out = pieces.join(done.select("doc_id", course_path(done).alias("path")), "doc_id")
-    out = out.withColumn("bucket", F.pmod("doc_id", F.lit(buckets)).cast("bigint"))
+    bucket = F.pmod("doc_id", F.lit(buckets)).cast("bigint")
+    out = out.withColumn("bucket", bucket)
     if root:
-        write_dynamic(out, root, "bucket")
+        gone = jobs.join(done.select("doc_id"), "doc_id", "left_anti").select(
+            "doc_id", F.lit(-1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("path"), bucket.alias("bucket")
+        )
+        rows = out.unionByName(gone)
+        old = _stored(jobs.sparkSession, root, out.schema)
+        if old is not None:
+            touched = rows.select("bucket").distinct()
+            kept = old.join(touched, "bucket", "left_semi").join(jobs.select("doc_id"), "doc_id", "left_anti")
+            rows = rows.unionByName(checkpointed(kept.select(*rows.columns)))
+        write_dynamic(rows, root, "bucket")
     return out
 
 
+def _stored(spark: SparkSession, root: str, schema) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(schema).parquet(root)
+
+
+def read_courses(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(root).filter(F.col("content").isNotNull())
+
+
 def missing_entities(entities: DataFrame, existing: DataFrame, folder: str) -> DataFrame:
     """Stubs for entities without a note; an existing note is never touched."""
     link = T.strip(F.coalesce(F.nullif("wikilink", F.lit("")), "name"))
@@ -99,7 +124,7 @@ def publish(jobs: DataFrame, segments: DataFrame, editorial: DataFrame, findings
     lines = paths.join(points, "doc_id", "left").select("link", R.index_line(F.col("link"), F.col("minutes"), F.coalesce("uncertain", F.lit(0))).alias("line"))
     return {
         "notes": R.render_note(ready, text, points, entities_by_field(linked)),
-        "verbatim": R.render_verbatim(ready, segments.join(ready.select("doc_id"), "doc_id", "left_semi")),
+        "raw_turns": R.render_raw_turns(ready, segments.join(ready.select("doc_id"), "doc_id", "left_semi")),
         "paths": paths,
         "entities": missing_entities(linked, notes, "Entites"),
         "index": lines,
@@ -109,7 +134,20 @@ def publish(jobs: DataFrame, segments: DataFrame, editorial: DataFrame, findings
     }
 
 
-def write_publication(parts: dict[str, DataFrame], root: str) -> None:
-    """Write every part, the status table last, so a failed run is simply run again."""
+def write_publication(parts: dict[str, DataFrame], root: str, buckets: int = 64) -> None:
+    """Merge every part into what was published before, the status table last.
+
+    Parts with ``doc_id`` are merged by document, the others by their first column; a second,
+    partial publication leaves all else as it is, and a failed run is simply run again.
+    """
     for name in [n for n in parts if n != "jobs"] + ["jobs"]:
-        parts[name].write.mode("overwrite").parquet(os.path.join(root, name))
+        part = parts[name].drop("bucket")
+        key = "doc_id" if "doc_id" in part.columns else part.columns[0]
+        part = part.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+        path = os.path.join(root, name)
+        old = _stored(part.sparkSession, path, part.schema)
+        if old is not None:
+            part = checkpointed(part)
+            kept = old.join(part.select("bucket").distinct(), "bucket", "left_semi").join(part.select(key).distinct(), key, "left_anti")
+            part = part.unionByName(checkpointed(kept.select(*part.columns)))
+        write_dynamic(part, path, "bucket")

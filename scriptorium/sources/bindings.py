@@ -29,8 +29,12 @@ def sentences(text: Column) -> Column:
 
 
 def segments(spark, sf_dir, speakers: bool = True) -> DataFrame:
+    return segments_of(documents(spark, sf_dir), speakers)
+
+
+def segments_of(documents: DataFrame, speakers: bool = True) -> DataFrame:
     """doc_id, seg_idx (1-based), start, end, text, speaker, role, confidence, lang, source."""
-    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", sentences(F.col("text")).alias("lines"))
+    docs = documents.select("doc_id", "lang", "source", sentences(F.col("text")).alias("lines"))
     # outer: an inner explode makes the optimizer split every text once more, to test for none
     rows = docs.select("doc_id", "lang", "source", F.posexplode_outer("lines").alias("pos", "line")).filter("pos is not null")
     idx = F.col("seg_idx")
@@ -75,8 +79,11 @@ seg AS (
 
 
 def pairs(spark, sf_dir, speakers: bool = False) -> DataFrame:
+    return pairs_of(segments(spark, sf_dir, speakers))
+
+
+def pairs_of(seg: DataFrame) -> DataFrame:
     """Raw segments against a rule-made revision; block_id follows the segment."""
-    seg = segments(spark, sf_dir, speakers)
     idx, text = F.col("seg_idx"), F.col("text")
     clean = (
         F.when(idx % 5 == 0, F.substring(text, 1, F.floor(F.length(text) / 2).cast("int")))

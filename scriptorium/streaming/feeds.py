@@ -38,10 +38,13 @@ def _hour(ts: str = "ts") -> Column:
 
 # ---- batch forms ---------------------------------------------------------
 
+SHOWN = ("status", "stage", "progress")
+
+
 def status_changes(events: DataFrame) -> DataFrame:
-    """Snapshots that differ in status from the one before."""
-    e = lagged(events, ["job_id"], ["ts", "event_id"], {"_p": F.col("status")}, block=_hour())
-    return e.filter(F.col("_p").isNull() | (F.col("_p") != F.col("status"))).drop("_p")
+    """Snapshots that differ from the one before in status, stage or progress."""
+    e = lagged(events, ["job_id"], ["ts", "event_id"], {"_p": F.struct(*SHOWN)}, block=_hour())
+    return e.filter(~F.col("_p").eqNullSafe(F.struct(*SHOWN))).drop("_p")
 
 
 def progress_throttle(events: DataFrame, seconds: float = 2.0) -> DataFrame:
@@ -98,56 +101,72 @@ def interrupted_jobs(events: DataFrame, as_of: Column, idle_seconds: float) -> D
 
 # ---- streaming forms -----------------------------------------------------
 
-def _stateful(stream: DataFrame, fn, state: str, out=_SNAPSHOT, timeout=GroupStateTimeout.NoTimeout) -> DataFrame:
-    return stream.groupBy("job_id").applyInPandasWithState(fn, out, state, "append", timeout)
+def _stateful(stream: DataFrame, fn, state: str, watermark: str, out=_SNAPSHOT) -> DataFrame:
+    """Runs ``fn`` with an event-time timer, so rows behind the watermark are dropped and counted by Spark."""
+    rows = stream.withWatermark("ts", watermark).select(*EVENT)
+    return rows.groupBy("job_id").applyInPandasWithState(fn, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(frames)
-    return pd.concat(frames).sort_values(["ts", "event_id"]) if frames else pd.DataFrame(columns=list(EVENT))
+    return pd.concat([f for f in frames if len(f)]).sort_values(["ts", "event_id"])
+
 
+def _millis(ts) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1000)
 
-def stream_status_feed(stream: DataFrame) -> DataFrame:
-    """Emit a job's snapshot when its status changes."""
+
+def _per_job(choose, keep_seconds: int):
+    """A stateful function that emits the rows ``choose(rows, last)`` marks and keeps the state it gives.
+
+    The state of a job goes when the watermark is ``keep_seconds`` past its last event; the
+    job's next event is then a first one.
+    """
     def fn(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _ordered(frames)
-        last = state.get[0] if state.exists else None
-        changed = rows["status"] != rows["status"].shift(fill_value=last)
-        state.update((rows["status"].iloc[-1],))
-        yield rows.loc[changed, list(EVENT)]
+        mask, after = choose(rows, state.get if state.exists else None)
+        state.update(after)
+        state.setTimeoutTimestamp(max(_millis(rows["ts"].iloc[-1]) + keep_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        if any(mask):
+            yield rows.loc[list(mask), list(EVENT)]
+
+    return fn
+
 
-    return _stateful(stream.select(*EVENT), fn, "status string")
+def stream_status_feed(stream: DataFrame, *, watermark: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
+    """Emit a job's snapshot when its status, stage or progress changes."""
+    def choose(rows, last):
+        shown = list(rows[list(SHOWN)].astype(object).where(rows[list(SHOWN)].notna(), None).itertuples(index=False, name=None))
+        return [now != before for now, before in zip(shown, [last, *shown])], shown[-1]
 
+    return _stateful(stream, _per_job(choose, keep_seconds), "status string, stage string, progress double", watermark)
 
-def stream_progress_throttle(stream: DataFrame, seconds: float = 2.0, watermark: str = "10 minutes") -> DataFrame:
+
+def stream_progress_throttle(stream: DataFrame, seconds: float = 2.0, *, watermark: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
     """Write a row on a new stage or after the interval, by event time."""
-    def fn(key, frames, state: GroupState):
-        rows = _ordered(frames)
-        stage, at = state.get if state.exists else (None, None)
+    def choose(rows, last):
+        stage, at = last if last else (None, None)
         mask = []
-        micros = rows["ts"].astype("int64") // (1000 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1)
-        for s, t in zip(rows["stage"], micros):
+        for s, t in zip(rows["stage"], rows["ts"].astype("datetime64[us]").astype("int64")):
             write = at is None or s != stage or t - at >= seconds * 1_000_000
             if write:
                 stage, at = s, int(t)
             mask.append(write)
-        state.update((stage, at))
-        yield rows.loc[mask, list(EVENT)]
+        return mask, (stage, at)
 
-    return _stateful(stream.withWatermark("ts", watermark).select(*EVENT), fn, "stage string, at long")
+    return _stateful(stream, _per_job(choose, max(keep_seconds, int(seconds) + 1)), "stage string, at long", watermark)
 
 
-def stream_progression(stream: DataFrame) -> DataFrame:
+def stream_progression(stream: DataFrame, *, watermark: str = "10 minutes", keep_seconds: int = 86_400) -> DataFrame:
     """Illegal steps, as they arrive."""
-    def fn(key, frames, state: GroupState):
-        rows = _ordered(frames)
-        last = state.get[0] if state.exists else None
-        before = rows["status"].shift(fill_value=last)
-        bad = [b is not None and b != s and s not in LEGAL.get(b, ()) for b, s in zip(before, rows["status"])]
-        state.update((rows["status"].iloc[-1],))
-        yield rows.loc[bad, list(EVENT)]
+    def choose(rows, last):
+        states = list(rows["status"])
+        steps = zip([last[0] if last else None, *states], states)
+        return [b is not None and b != s and s not in LEGAL.get(b, ()) for b, s in steps], (states[-1],)
 
-    return _stateful(stream.select(*EVENT), fn, "status string")
+    return _stateful(stream, _per_job(choose, keep_seconds), "status string", watermark)
 
 
 def stream_interrupted(stream: DataFrame, idle_seconds: int, watermark: str = "10 minutes") -> DataFrame:
@@ -160,17 +179,15 @@ def stream_interrupted(stream: DataFrame, idle_seconds: int, watermark: str = "1
             state.remove()
             yield pd.DataFrame({"job_id": [key[0]], "last_ts": [pd.Timestamp(at, unit="ms")]})
             return
-        rows = _ordered(frames)
-        last = rows.iloc[-1]
-        at = int(pd.Timestamp(last["ts"]).timestamp() * 1000)
+        last = _ordered(frames).iloc[-1]
+        at = _millis(last["ts"])
         if last["status"] == "running":
             state.update((at,))
             state.setTimeoutTimestamp(max(at + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"job_id": pd.Series([], dtype="int64"), "last_ts": pd.Series([], dtype="datetime64[ns]")})
 
-    return _stateful(stream.withWatermark("ts", watermark).select(*EVENT), fn, "at long", out, GroupStateTimeout.EventTimeTimeout)
+    return _stateful(stream, fn, "at long", watermark, out)
 
 
 def stream_claims(claims: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -178,13 +195,6 @@ def stream_claims(claims: DataFrame, watermark: str = "1 day") -> DataFrame:
     return claims.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["key"])
 
 
-def stream_findings(pairs: DataFrame) -> DataFrame:
-    """Block rules on arriving pairs: projections only, no state."""
-    from ..operators.findings import rule_findings
-
-    return rule_findings(pairs)
-
-
 def write_findings(pairs: DataFrame, names: DataFrame, path: str, checkpoint: str):
     """Findings with the lexicon, one micro-batch at a time.
 

@@ -7,8 +7,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions.align import _align, _spans, locate
-from scriptorium.functions.edits import _annotate, _headings, _links
-from scriptorium.operators import claims as C, edits as E, joins as J, lexicon as L
+from scriptorium.functions.edits import _annotate, insert_links, place_headings
+from scriptorium.functions import text as T
+from scriptorium.operators import claims as C, edits as E, joins as J, lexicon as L, sequence as Q
 
 words = st.lists(st.sampled_from(["le", "juge", "dit", "non", "12", "oui"]), max_size=12).map(" ".join)
 
@@ -44,13 +45,44 @@ def test_corrections_follow_each_other():
     assert out == "L'ARN[^v1] de Paris[^v2].\n\n[^v1]: a\n[^v2]: b\n" and notes == [1, 2, None]
 
 
-def test_headings_and_links():
-    text = "Premier paragraphe ici.\n\nDeuxième paragraphe plus loin.\n\nTroisième et dernier paragraphe."
-    got = _headings(text, [{"heading": "Fin", "quote": "Troisième et dernier"}, {"heading": "Non", "quote": "Deuxième paragraphe"},
-                           {"heading": "Court", "quote": "ici"}])
-    assert got.count("## ") == 1 and "\n\n## Fin\n\nTroisième" in got
-    assert _links("le juge et la loi", [{"quote": "juge", "title": "Juge"}]) == "le [[Juge|juge]] et la loi"
-    assert _links("loi et loi", [{"quote": "loi", "title": "Loi"}]) == "loi et loi"
+def test_headings_and_links(spark):
+    text = "Premier paragraphe ici.\n\nDeuxième paragraphe plus loin.\n\n\nTroisième et dernier paragraphe."
+    wanted = [("Fin", "Troisième et dernier"), ("Non", "Deuxième paragraphe"), ("Court", "ici")]
+    rows = spark.createDataFrame([(text, wanted, [("juge", "Juge")]), (None, None, None), (text, wanted[1::-1], [("paragraphe", "P")])],
+                                 "t string, s array<struct<heading:string,quote:string>>, p array<struct<quote:string,title:string>>")
+    got = rows.select(place_headings("t", "s").alias("h"), insert_links(F.lit("le juge et la loi \\E"), F.col("p")).alias("l")).collect()
+    assert got[0]["h"].count("## ") == 1 and "\n\n\n## Fin\n\nTroisième" in got[0]["h"] and got[0]["l"] == "le [[Juge|juge]] et la loi \\E"
+    assert got[1]["h"] == "" and got[2]["h"].index("## Non") < got[2]["h"].index("## Fin") and got[2]["l"] == "le juge et la loi \\E"
+
+
+def test_pieces_are_literal(spark):
+    rows = [("a\\E.b$ a\\E.b", "a\\E.b", 9), ("aaa", "", 1), ("a.b", "c", 0), ("xx x xx", "x", 4), (".$.", "$", 0)]
+    df = spark.createDataFrame(rows, "t string, p string, at int")
+    got = [tuple(r) for r in df.select(T.count_of(F.col("t"), F.col("p")), Q.nearest_occurrence(F.col("t"), F.col("p"), F.col("at"))).collect()]
+    assert got == [(2, 7), (0, -1), (0, -1), (5, 3), (1, 1)]
+    one = df.select("t", F.lit("b").alias("block_id"), F.lit(1).alias("doc_id")).limit(1)
+    dec = spark.createDataFrame([(1, "b", "\\E.b$", "z")], "doc_id int, block_id string, citation string, proposition string")
+    assert C.replace_in_blocks(one.withColumnRenamed("t", "text"), dec).first()["text"] == "az a\\E.b"
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abcd")), st.lists(st.sampled_from("abcd"))), min_size=1, max_size=20))
+def test_bags_match_brute_force(spark, rows):
+    def brute(left, right):
+        rest, seen, out = list(right), set(), []
+        for x in left:
+            if x in rest:
+                rest.remove(x)
+            else:
+                if x not in seen:
+                    out.append(x)
+                seen.add(x)
+        lost = sum(max(0, left.count(x) - right.count(x)) for x in set(left))
+        return out, lost / len(left) if left else 0.0
+
+    df = spark.createDataFrame(rows, "l array<string>, r array<string>")
+    got = df.select(T.bag_missing(F.col("l"), F.col("r")), T.missing_ratio(F.col("l"), F.col("r"))).collect()
+    assert [tuple(g) for g in got] == [brute(l, r) for l, r in rows]
 
 
 NAMES = "term string, pos string, category string, verified boolean, name string"

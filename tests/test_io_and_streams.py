@@ -1,6 +1,7 @@
 """Files, publication and streams."""
 
 import datetime as dt
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -66,6 +67,39 @@ def test_course_export_replaces_a_renamed_course(spark, tmp_path):
     assert paths == {"2024-01-02-Nouveau-titre-1.md", "2024-01-02-G-65.md"}
 
 
+def test_course_export_of_some_documents_keeps_the_others(spark, tmp_path):
+    schema = "doc_id long, filename string, title string, status string, created_at timestamp, summary string"
+    day, root = dt.datetime(2024, 1, 2), str(tmp_path / "some")
+    job = lambda d, status="done": (d, "f.mp3", f"T{d}", status, day, None)
+    text = spark.createDataFrame([(d, 0, f"corps {d}") for d in (1, 2, 65)], "doc_id long, part long, content string")
+    for batch in ([job(1), job(65), job(2)], [job(1)], [job(2, "queued")]):  # 1 and 65 share a bucket; 2 leaves its own
+        X.export_courses(spark.createDataFrame(batch, schema), text, root)
+    got = X.read_courses(spark, root).filter("content like '%corps%'")
+    assert sorted(r["content"].strip() for r in got.collect()) == ["corps 1", "corps 65"]
+
+
+def test_second_publication_keeps_the_first(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    for d in (1, 2, 1):
+        notes = spark.createDataFrame([(d, 0, f"note {d}")], "doc_id long, seq long, content string")
+        jobs = spark.createDataFrame([(d, "published")], "doc_id long, status string")
+        X.write_publication({"notes": notes, "index": spark.createDataFrame([(f"n{d}", "line")], "link string, line string"), "jobs": jobs}, root)
+    assert sorted(r["content"] for r in spark.read.parquet(f"{root}/notes").collect()) == ["note 1", "note 2"]
+    assert spark.read.parquet(f"{root}/jobs").count() == 2 and spark.read.parquet(f"{root}/index").count() == 2
+
+
+def test_json_holds_every_part(spark):
+    jobs = spark.createDataFrame([(1, "f.mp3", 2.5, 'T "q"', None, "raw\n"), (2, "g", None, None, '["a"]', "")], "doc_id long, filename string, duration double, title string, summary string, raw_text string")
+    text = spark.createDataFrame([(1, 0, "AAA"), (1, 1, 'B"B\nB')], "doc_id long, part long, content string")
+    seg = spark.createDataFrame([(1, i, f"s{i}") for i in range(1, 5001)], "doc_id long, seg_idx long, text string")
+    found = spark.createDataFrame([(1, "haute", 1.0, "x"), (1, "haute", 1.0, "x"), (1, "basse", None, "y")], "doc_id long, severity string, start double, message string")
+    files = {r["doc_id"]: json.loads(r["content"]) for r in R.whole(R.render_json(jobs, text, seg, None, found)).collect()}
+    one, two = files[1], files[2]
+    assert one["texte_relu"] == ["AAA", 'B"B\nB'] and [s["text"] for s in one["segments"]] == [f"s{i}" for i in range(1, 5001)]
+    assert one["verification"]["haute"] == 2 and len(one["verification"]["constats"]) == 3 and one["blocs_revision"] == []
+    assert two["titre"] is None and two["resume"] == ["a"] and two["texte_relu"] == [] and two["moteur"] is None
+
+
 def event(job, i, seconds, status, stage="s"):
     return (job, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds), status, stage, 0.5)
 
@@ -96,6 +130,12 @@ def test_throttle_is_equal_in_batch_and_stream(spark, tmp_path):
     assert sorted(r["event_id"] for r in got) == want
 
 
+def test_feed_shows_any_change_and_drops_late_rows(spark, tmp_path):
+    batches = [[event(1, 1, 0, "running", "a"), event(1, 2, 1, "running", "b"), event(2, 3, 4000, "queued")], [event(1, 4, 2, "done"), event(2, 5, 4001, "running")]]
+    got = run(spark, tmp_path, batches, lambda s: S.stream_status_feed(s, watermark="10 minutes"), "late")
+    assert sorted(r["event_id"] for r in got) == [1, 2, 3, 5]  # 4 lies behind the watermark
+
+
 def test_interrupted_jobs_by_timer(spark, tmp_path):
     batches = [[event(1, 1, 0, "running"), event(2, 2, 0, "running")], [event(2, 3, 30, "done"), event(3, 4, 4000, "queued")], [event(3, 5, 9000, "queued")]]
     got = run(spark, tmp_path, batches, lambda s: S.stream_interrupted(s, 60, "10 seconds"), "idle")

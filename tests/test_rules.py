@@ -57,7 +57,7 @@ def test_bag_difference_order(spark):
 
 
 def test_envelopes(spark):
-    assert one(spark, "x <transcription>a</transcription> <transcription> b </transcription>", fields.candidate) == "b"
+    assert one(spark, "x <revised>a</revised> <revised> b </revised>", fields.candidate) == "b"
     assert one(spark, "whole answer", fields.candidate) is None
     assert one(spark, 'so: {"text": "ok"} end', lambda c: fields.candidate(c, True)) == "ok"
 
