@@ -68,8 +68,12 @@ def learn_profiles(
     """
     rows = jobs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("raw_text"), F.col(language).alias("language"))
     rows = rows.filter(trained_on("doc_id") & F.col("language").isNotNull() & F.col("raw_text").isNotNull())
-    order = W.partitionBy("language").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "language").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
+    # hashes below twice the wanted share first, so that a language of most rows is no large sort
+    known = rows.groupBy("language").agg(F.count(F.lit(1)).alias("known"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double")
+    likely = rows.select("doc_id", "language").join(known, "language").filter(part * F.col("known") < float((1 << 32) * (2 * sample + 100)))
+    order = W.partitionBy("language").orderBy(part, "doc_id")
+    chosen = likely.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
     chosen = chosen.select("doc_id", F.col("language").alias("label"))
     # bounded: sample rows a language
     texts = rows.join(F.broadcast(chosen), (rows.doc_id == chosen.doc_id) & (rows.language == chosen.label), "left_semi")
