@@ -81,8 +81,8 @@ cu AS (SELECT *, seg_idx % 5 = 0 AND len(w) > 4 AS far, seg_idx % 5 = 0 AND len(
 
 
 def cuts(b):
-    at = lambda k, seq: b.filter("pos % 5 = 0").select("doc_id", "block_id", F.lit(k).alias("word_index"), F.lit(seq).alias("seq"))
-    return at(4, 1).unionByName(at(2, 2)).unionByName(at(3, 3))
+    orders = F.array(*[F.struct(F.lit(k).alias("word_index"), F.lit(seq).alias("seq")) for seq, k in enumerate((4, 2, 3))])
+    return b.filter("pos % 5 = 0").select("doc_id", "block_id", F.explode(orders).alias("e")).select("doc_id", "block_id", "e.*")
 
 
 @query(
