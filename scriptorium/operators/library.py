@@ -169,6 +169,15 @@ def entities_by_field(entities: DataFrame) -> DataFrame:
     return once.groupBy("doc_id", "field").agg(F.transform(rows, lambda r: r["link"]).alias("links"))
 
 
+def entity_aliases(entities: DataFrame) -> DataFrame:
+    """Names that stand for another note's name, as ``name → link``, in order, each once."""
+    link, name = F.coalesce(F.nullif("wikilink", F.lit("")), "name"), T.strip("name")
+    e = entities.withColumn("alias", F.concat(name, F.lit(" → "), link)).filter((name != "") & (name != link))
+    once = e.groupBy("doc_id", "alias").agg(F.min("pos").alias("pos"))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "alias")))
+    return once.groupBy("doc_id").agg(F.transform(rows, lambda r: r["alias"]).alias("aliases"))
+
+
 def search_notes(notes: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     key = T.norm_title(F.lit(query))
     text = T.norm_title(F.concat_ws(" ", "title", "aliases"))

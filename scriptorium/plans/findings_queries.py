@@ -122,7 +122,13 @@ def grounding_hints(spark, d):
     return L.grounding_hints(B.documents(spark, d).select("doc_id", "text"), "text", names(spark, d))
 
 
-@query("hint_text")
+@query(
+    "hint_text",
+    with_(B.LEX, B.LEX_NAMES, near_sql("documents", "text", "doc_id"))
+    + """SELECT doc_id, 'Termes proches (à confirmer par l''écoute) :' || chr(10) || string_agg('- « ' || near_word || ' » → « ' || term || ' » ?', chr(10) ORDER BY rank) AS hints
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY near_word, term) AS rank FROM (SELECT doc_id, lower(near_word) AS l, term, min(near_word) AS near_word FROM near GROUP BY ALL))
+      WHERE rank <= 8 GROUP BY doc_id""",
+)
 def hint_text(spark, d):
     return L.hint_text(L.grounding_hints(B.documents(spark, d).select("doc_id", "text"), "text", names(spark, d)), ["doc_id"])
 

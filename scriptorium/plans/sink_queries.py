@@ -122,12 +122,37 @@ def render_flashcards(spark, d):
     return R.render_flashcards(B.jobs(spark, d), cards)
 
 
-@query("render_note")
+# the note of every document; {link} and {raw} are what a publication adds
+NOTE = """
+pts AS (SELECT doc_id, count(*) FILTER (verdict <> 'confirme') AS n FROM verd GROUP BY doc_id),
+ents AS (SELECT doc_id, field, list('"[[' || link || ']]"' ORDER BY pos) AS l FROM (
+    SELECT doc_id, CASE type WHEN 'nom_propre' THEN 'personnes' WHEN 'organisme' THEN 'organismes' WHEN 'reference_juridique' THEN 'references' END AS field, {link} AS link, min(pos) AS pos
+    FROM (SELECT *, trim(citation) AS name FROM verd WHERE verdict = 'confirme') {nk} GROUP BY ALL) WHERE field IS NOT NULL GROUP BY doc_id, field),
+alia AS (SELECT doc_id, list(CASE WHEN regexp_matches(a, '[:#{{}}\\[\\]&*!|>''"%@`,]') THEN '"' || a || '"' ELSE a END ORDER BY pos) AS l FROM (SELECT doc_id, name || ' → ' || {link} AS a, min(pos) AS pos FROM (SELECT *, trim(citation) AS name FROM verd WHERE verdict = 'confirme') {nk} WHERE name <> {link} GROUP BY ALL) GROUP BY doc_id),
+st AS (SELECT jobs.*, coalesce(n, 0) AS n, CASE WHEN status NOT IN ('checked', 'published') THEN 'non_verifie' WHEN coalesce(n, 0) > 0 THEN 'incertain' ELSE 'verifie' END AS note_status FROM jobs LEFT JOIN pts USING (doc_id)),
+note AS (
+  SELECT doc_id, 0::BIGINT AS seq, concat_ws(chr(10), '---', 'type: note', 'domaine: droit', 'statut_verification: ' || note_status, 'points_incertains: ' || n, 'titre: ' || coalesce(title, filename),
+    'date: ' || strftime(created_at, '%Y-%m-%d'), 'source_fichier: ' || filename, {raw} 'duree_minutes: ' || round(duration / 60, 1), 'moteur: ""', 'modele: ""', 'relecture: ""',
+    'personnes: [' || coalesce((SELECT array_to_string(l, ', ') FROM ents WHERE ents.doc_id = st.doc_id AND field = 'personnes'), '') || ']',
+    'organismes: [' || coalesce((SELECT array_to_string(l, ', ') FROM ents WHERE ents.doc_id = st.doc_id AND field = 'organismes'), '') || ']',
+    'references: [' || coalesce((SELECT array_to_string(l, ', ') FROM ents WHERE ents.doc_id = st.doc_id AND field = 'references'), '') || ']',
+    'aliases_entites: [' || coalesce((SELECT array_to_string(l, ', ') FROM alia WHERE alia.doc_id = st.doc_id), '') || ']',
+    'tags: [cours' || CASE WHEN note_status <> 'verifie' THEN ', à-vérifier' ELSE '' END || ']', 'job_id: ' || doc_id, '---') || chr(10) || chr(10)
+    || CASE note_status WHEN 'verifie' THEN '> [!success] Contrôle terminé, rien à signaler' WHEN 'incertain' THEN '> [!warning] Points incertains : ' || n || chr(10) || '> Chacun est suivi d''un appel de note ; à lever avant toute citation.'
+       ELSE '> [!warning] Contrôle non fait' || chr(10) || '> Aucun fait de ce texte n''a encore été confronté à des sources.' END AS content FROM st
+  UNION ALL SELECT doc_id, {sec}, chr(10) || '## En bref' || chr(10) || chr(10) || '- point ' || doc_id || chr(10) || '- ' || tags[1] FROM jobs WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 2 * {sec}, chr(10) || coalesce(clean_text, raw_text) FROM jobs WHERE coalesce(clean_text, raw_text) <> '')
+"""
+DOMAIN = {"tags": ("cours",), "domain": "droit"}
+
+
+@query("render_note", with_(B.SEG, B.CLAIM, VERD, B.JOBS, NOTE.format(link="name", nk="", raw="", sec=SEC)) + "SELECT doc_id, seq, content FROM note")
 def render_note(spark, d):
     v = verdicts(spark, d)
     points = Y.uncertain_points(v.filter("verdict <> 'confirme'").select("doc_id", F.lit("fait").alias("kind")))
     jobs = B.jobs(spark, d).withColumn("fact_checked", F.lit(True))
-    return R.render_note(jobs, editorial(spark, d), points, Y.entities_by_field(verdict_entities(v)), tags=("cours",))
+    ent = verdict_entities(v)
+    return R.render_note(jobs, editorial(spark, d), points, Y.entities_by_field(ent), Y.entity_aliases(ent), **DOMAIN)
 
 
 @query("note_status", with_(B.SEG, B.CLAIM, VERD, B.JOBS) + """SELECT doc_id, CASE WHEN status NOT IN ('checked', 'published') THEN 'non_verifie' WHEN n > 0 THEN 'incertain' ELSE 'verifie' END AS note_status FROM jobs
@@ -213,17 +238,48 @@ def replace_syntheses(spark, d):
         arch.select("name", F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("archived")))
 
 
-@query("publish")
-def publish(spark, d):
-    """One row per piece that a publication would write."""
+PUBLISHED = f"""
+ready AS (SELECT *, regexp_replace(path, '^.*/|\\.md$', '', 'g') AS link FROM (SELECT *, coalesce(note_path, 'Notes/' || trim(regexp_replace(regexp_replace(strftime(created_at, '%Y-%m-%d') || ' — ' || coalesce(title, filename), '[\\\\/:*?"<>|\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g')) || '.md') AS path
+  FROM jobs WHERE status IN ('done', 'checked', 'published'))),
+items AS (
+  SELECT 'notes' AS part, doc_id || '/' || seq || '/' || md5(content) AS item FROM note WHERE doc_id IN (SELECT doc_id FROM ready)
+  UNION ALL SELECT 'raw_turns', doc_id || '/0' FROM ready
+  UNION ALL SELECT DISTINCT 'raw_turns', turns.doc_id || '/' || ({SEC} + (pos - 1) // 2048) FROM turns JOIN ready USING (doc_id) WHERE text <> ''
+  UNION ALL SELECT 'flashcards', doc_id || '/0/' || md5('---' || chr(10) || 'type: revision' || chr(10) || 'titre: ' || coalesce(title, filename) || chr(10) || 'date: ' || strftime(created_at, '%Y-%m-%d') || chr(10) || 'note: "[[' || link || ']]"' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# ' || coalesce(title, filename) || ' — Révision' || chr(10) || chr(10) || '## Flashcards' || chr(10)) FROM ready WHERE doc_id IN (SELECT doc_id FROM seg)
+  UNION ALL SELECT 'flashcards', doc_id || '/' || ({SEC} + (seg_idx - 1) // 2048) || '/' || md5(string_agg(role || '::' || text, chr(10) ORDER BY seg_idx)) FROM seg WHERE doc_id IN (SELECT doc_id FROM ready) GROUP BY doc_id, (seg_idx - 1) // 2048
+  UNION ALL SELECT 'paths', path || '|' || regexp_replace(path, '\\.md$', '') || ' (brut).md' || '|' || regexp_replace(path, '\\.md$', '') || ' (cartes).md' FROM ready
+  UNION ALL SELECT DISTINCT 'entities', 'Entites/' || trim(regexp_replace(citation, '[\\\\/:*?"<>|\\x00-\\x1f]', '', 'g')) || '.md' FROM verd JOIN ready USING (doc_id) WHERE verdict = 'confirme' AND {S.norm_title('citation')} NOT IN (SELECT name_key FROM nk)
+  UNION ALL SELECT 'index', '- [[' || link || ']] · ' || round_even(duration / 60, 0)::BIGINT || ' min' || CASE WHEN n > 0 THEN ' · ⚠️ ' || n || ' point' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' à vérifier' ELSE ' · ✅' END FROM ready LEFT JOIN pts USING (doc_id)
+  UNION ALL SELECT 'glossary', term FROM lex
+  UNION ALL SELECT 'courses', course.doc_id || '/' || seq || '/' || md5(content) FROM course JOIN ready USING (doc_id)
+  UNION ALL SELECT 'jobs', doc_id || '/' || path FROM ready)
+"""
 
+
+@query(
+    "publish",
+    with_(
+        B.SEG, B.CLAIM, VERD, B.JOBS, B.NOTES, ENT, B.LEX, TURNS, COURSE,
+        NOTE.format(
+            link="coalesce(note_title, name)", nk=f"LEFT JOIN nk ON nk.name_key = {S.norm_title('name')}", sec=SEC,
+            raw="""'brut: "[[' || regexp_replace(coalesce(note_path, 'Notes/' || trim(regexp_replace(regexp_replace(strftime(created_at, '%Y-%m-%d') || ' — ' || coalesce(title, filename), '[\\\\/:*?"<>|\\x00-\\x1f]', '', 'g'), '\\s+', ' ', 'g')) || '.md'), '^.*/|\\.md$', '', 'g') || ' (brut)]]"',""",
+        ),
+        PUBLISHED,
+    ) + "SELECT part, item FROM items",
+)
+def publish(spark, d):
+    """One row per piece that a publication would write, with a digest of what it holds."""
     v = verdicts(spark, d)
     jobs = B.jobs(spark, d).withColumn("fact_checked", F.lit(True))
     facts = v.filter("verdict <> 'confirme'").select("doc_id", F.lit("fait").alias("kind"))
-    parts = X.publish(jobs, B.segments(spark, d), editorial(spark, d), facts, verdict_entities(v), B.notes(spark, d), B.lexicon(spark, d))
-    one = lambda name, c: parts[name].select(F.lit(name).alias("part"), c.cast("string").alias("item"))
+    seg = B.segments(spark, d)
+    cards = seg.select("doc_id", F.col("seg_idx").alias("pos"), F.col("role").alias("recto"), F.col("text").alias("verso"))
+    parts = X.publish(jobs, seg, editorial(spark, d), facts, verdict_entities(v), B.notes(spark, d), B.lexicon(spark, d), cards, **DOMAIN)
+    one = lambda name, *c: parts[name].select(F.lit(name).alias("part"), F.concat_ws("/", *c).alias("item"))
+    held = F.md5("content")
     return (
-        one("notes", F.concat_ws("/", "doc_id", "seq")).unionByName(one("raw_turns", F.concat_ws("/", "doc_id", "seq")))
-        .unionByName(one("entities", F.col("path"))).unionByName(one("index", F.col("line")))
-        .unionByName(one("glossary", F.col("term"))).unionByName(one("jobs", F.col("doc_id")))
+        one("notes", "doc_id", "seq", held).unionByName(one("raw_turns", "doc_id", "seq")).unionByName(one("flashcards", "doc_id", "seq", held))
+        .unionByName(parts["paths"].select(F.lit("paths").alias("part"), F.concat_ws("|", "path", "raw_path", "cards_path").alias("item")))
+        .unionByName(one("entities", "path")).unionByName(one("index", "line")).unionByName(one("glossary", "term"))
+        .unionByName(one("courses", "doc_id", "seq", held)).unionByName(one("jobs", "doc_id", "path"))
     )

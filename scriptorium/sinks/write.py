@@ -105,33 +105,42 @@ def replace_syntheses(current: DataFrame, new: DataFrame, as_of: Column) -> tupl
     return kept.unionByName(new.select(*current.columns)), old
 
 
-def publish(jobs: DataFrame, segments: DataFrame, editorial: DataFrame, findings: DataFrame, entities: DataFrame, notes: DataFrame, lexicon: DataFrame, *, folder: str = "Notes") -> dict[str, DataFrame]:
+def publish(
+    jobs: DataFrame, segments: DataFrame, editorial: DataFrame, findings: DataFrame, entities: DataFrame, notes: DataFrame, lexicon: DataFrame,
+    cards: DataFrame | None = None, *, folder: str = "Notes", tags: tuple[str, ...] = (), domain: str = "",
+) -> dict[str, DataFrame]:
     """Everything one publication writes; the status comes last.
 
-    A document published before keeps its path.
+    A document published before keeps its path. Note, raw turns and flashcards (``cards``:
+    doc_id, pos, recto, verso) name each other.
     """
     from ..operators.joins import resolve_entities
     from ..operators.lexicon import glossary
-    from ..operators.library import entities_by_field, uncertain_points
+    from ..operators.library import entities_by_field, entity_aliases, uncertain_points
 
     ready = jobs.filter(F.col("status").isin("done", "checked", "published"))
     name = fields.filename_for(F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit(" — "), R.title_of()))
+    path = F.coalesce("note_path", F.concat(F.lit(folder + "/"), name, F.lit(".md")))
+    ready = ready.withColumn("note_link", fields.note_name(path)).withColumn("raw_link", F.concat("note_link", F.lit(" (brut)")))
     linked = resolve_entities(entities.join(ready.select("doc_id"), "doc_id", "left_semi"), notes)
     points = uncertain_points(findings)
     text = editorial.join(ready.select("doc_id"), "doc_id", "left_semi")
-    path = F.coalesce("note_path", F.concat(F.lit(folder + "/"), name, F.lit(".md")))
-    paths = ready.select("doc_id", path.alias("path"), fields.note_name(path).alias("link"), (F.col("duration") / 60).alias("minutes"))
+    beside = lambda mark: F.concat(F.regexp_replace(path, r"\.md$", ""), F.lit(f" ({mark}).md"))
+    paths = ready.select("doc_id", path.alias("path"), beside("brut").alias("raw_path"), beside("cartes").alias("cards_path"), F.col("note_link").alias("link"), (F.col("duration") / 60).alias("minutes"))
     lines = paths.join(points, "doc_id", "left").select("link", R.index_line(F.col("link"), F.col("minutes"), F.coalesce("uncertain", F.lit(0))).alias("line"))
-    return {
-        "notes": R.render_note(ready, text, points, entities_by_field(linked)),
+    parts = {
+        "notes": R.render_note(ready, text, points, entities_by_field(linked), entity_aliases(linked), tags=tags, domain=domain),
         "raw_turns": R.render_raw_turns(ready, segments.join(ready.select("doc_id"), "doc_id", "left_semi")),
         "paths": paths,
         "entities": missing_entities(linked, notes, "Entites"),
         "index": lines,
-        "glossary": glossary(lexicon),
+        "glossary": glossary(lexicon).select("term", "category", "content"),
         "courses": export_courses(ready, text),
         "jobs": ready.select("doc_id", F.lit("published").alias("status")).join(paths.select("doc_id", "path"), "doc_id"),
     }
+    if cards is not None:
+        parts["flashcards"] = R.render_flashcards(ready, cards.join(ready.select("doc_id"), "doc_id", "left_semi"))
+    return parts
 
 
 def write_publication(parts: dict[str, DataFrame], root: str, buckets: int = 64) -> None:
