@@ -17,9 +17,16 @@ from ..session import balanced
 
 
 def load_lexicon(base: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Overlay terms replace base terms in place; new ones follow the base."""
+    """Overlay terms replace base terms in place; new ones follow the base.
+
+    Of several overlay entries of a term the last one, by ``pos``, counts; a new term stands
+    where its first entry does.
+    """
     tidy = lambda df: df.withColumn("term", F.trim("term")).filter(F.col("term") != "")
-    base, overlay = tidy(base), tidy(overlay)
+    base = tidy(base)
+    rest = [c for c in overlay.columns if c not in ("term", "pos")]
+    last = tidy(overlay).groupBy("term").agg(F.max_by(F.struct(*rest), "pos").alias("_v"), F.min("pos").alias("pos"))
+    overlay = last.select("term", *[F.col("_v")[c].alias(c) for c in rest], "pos")
     places = base.select("term", F.col("pos").alias("_bp"))
     over = overlay.join(places, "term", "left").select(
         *[c for c in overlay.columns if c != "pos"],

@@ -77,17 +77,21 @@ u AS (SELECT key, type, citation FROM (SELECT *, {KEY} AS key, row_number() OVER
 @query(
     "resolve_claims",
     with_(B.SEG, B.CLAIM, VERD, B.LEX, B.LEX_NAMES, RESOLVE, LOOKUP.format(src="claim", where="AND n.verified"), REFS)
-    + f"""SELECT key, CASE WHEN t IS NOT NULL THEN 'confirme' ELSE cv END AS verdict, coalesce(t, cf) AS correct_form, CASE WHEN t IS NOT NULL THEN 'lexique' WHEN cv IS NOT NULL THEN 'cache' ELSE 'unresolved' END AS origin
-    FROM (SELECT k.key, coalesce(uq.term, b.term) AS t, v.verdict AS cv, v.correct_form AS cf
+    + f"""SELECT key, CASE WHEN t IS NOT NULL THEN 'confirme' ELSE cv END AS verdict, coalesce(t, cf) AS correct_form, CASE WHEN t IS NOT NULL THEN 'lexique' WHEN cv IS NOT NULL THEN 'cache' ELSE 'unresolved' END AS origin,
+      CASE WHEN t IS NOT NULL THEN 'Terme du lexique, catégorie ' || category WHEN cv IS NOT NULL THEN 'Voir.' END AS explanation,
+      CASE WHEN t IS NOT NULL THEN CASE WHEN h % 2 = 0 THEN 'https://x/' || t ELSE '' END WHEN cv IS NOT NULL THEN CASE ns WHEN 0 THEN '' WHEN 1 THEN 'https://x/1' ELSE 'https://x/1|https://x/2' END ELSE '' END AS urls
+    FROM (SELECT k.key, coalesce(uq.term, b.term) AS t, v.verdict AS cv, v.correct_form AS cf, v.n_sources AS ns
       FROM (SELECT DISTINCT key, {S.norm_key("split_part(key, ':', 2)")} AS nk FROM verd) k
       LEFT JOIN uniq uq ON uq.name_key = k.nk
       LEFT JOIN (SELECT DISTINCT {S.norm_key('look.citation')} AS nk, look.term FROM look JOIN lex_names n ON n.term = look.term AND {S.norm_key('n.name')} = {S.norm_key('look.citation')}) b ON b.nk = k.nk
-      LEFT JOIN (SELECT DISTINCT key, verdict, correct_form FROM verd WHERE {FRESH}) v ON v.key = k.key)""",
+      LEFT JOIN (SELECT DISTINCT key, verdict, correct_form, n_sources FROM verd WHERE {FRESH}) v ON v.key = k.key) LEFT JOIN lex ON lex.term = t""",
 )
 def resolve_claims(spark, d):
     lex = B.lexicon(spark, d)
-    r = C.resolve_claims(B.claims(spark, d), lex, L.lexicon_names(lex), cache(spark, d), F.lit(AS_OF))
-    return r.select("key", "verdict", "correct_form", "origin")
+    held = cache(spark, d).withColumns({"explanation": F.lit("Voir."), "sources": source_list(F.col("n_sources"), F.col("key"))})
+    r = C.resolve_claims(B.claims(spark, d), lex, L.lexicon_names(lex), held, F.lit(AS_OF))
+    urls = F.array_join(F.transform("sources", lambda s: s["url"]), "|")
+    return r.select("key", "verdict", "correct_form", "origin", "explanation", urls.alias("urls"))
 
 
 @query("fan_out_verdicts", with_(B.SEG, B.CLAIM, VERD) + f"SELECT doc_id, pos, key, CASE WHEN {FRESH} THEN verdict END AS verdict FROM verd")
@@ -171,12 +175,12 @@ def verdict_entities(spark, d):
     + """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'rejetee' WHEN doc_id % 3 = 1 AND citation <> '' THEN 'validee' ELSE 'attente' END AS status,
       md5(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '[^v1]: **« ' || citation || ' »** — proposition rejetée après relecture.'
         WHEN doc_id % 3 = 1 AND citation <> '' AND p > 0 THEN substring(text, 1, p - 1) || 'NEUF' || substring(text, p + length(citation)) || chr(10) || '[^v1]: **« ' || citation || ' »** — corrigé en **NEUF** (validé manuellement).'
-        ELSE text || chr(10) || '[^v1]: **« ' || citation || ' »** — correction proposée : en attente de validation manuelle.' END) AS h
+        ELSE text || chr(10) || '[^v1]: **« ' || citation || ' »** — correction à valider.' END) AS h
     FROM (SELECT *, instr(lower(text), lower(citation)) AS p FROM w) WHERE citation <> ''""",
 )
 def decide_pending(spark, d):
     docs = B.documents(spark, d).withColumn("citation", F.regexp_extract("text", "[A-Za-z]{4,}", 0)).filter("citation <> ''")
-    note = F.concat(F.lit("\n[^v1]: **« "), "citation", F.lit(" »** — correction proposée : en attente de validation manuelle."))
+    note = F.concat(F.lit("\n[^v1]: **« "), "citation", F.lit(" »** — correction à valider."))
     texts = docs.select("doc_id", F.concat("text", note).alias("text"))
     i = F.col("doc_id") % 3
     # the citation is looked for with letters and digits only, as its first exact place

@@ -23,9 +23,9 @@ def lexicon_names(spark, d):
     return names(spark, d).select("term", "name", "name_pos", "name_key", "verified")
 
 
-# overlay: every fifth term again with another category, plus new terms
+# overlay: every fifth term again with another category, plus new terms; an earlier entry of each must not count
 OVER = """
-over AS (SELECT CASE WHEN h % 10 = 0 THEN term || 'x' ELSE term END AS term, 'ajout' AS category, NOT verified AS verified, 'z' || pos AS pos FROM lex WHERE h % 5 = 0)
+over AS (SELECT CASE WHEN h % 10 = 0 THEN term || 'x' ELSE term END AS term, 'ajout' AS category, NOT verified AS verified, 'y' || pos AS pos FROM lex WHERE h % 5 = 0)
 """
 
 
@@ -42,11 +42,12 @@ def lexicon_overlay(spark, d):
 
 
 def _overlay(lex):
+    own = lambda category, verified, place: F.struct(F.lit(category).alias("category"), verified.alias("verified"), F.concat(F.lit(place), "pos").alias("pos"))
+    entries = F.array(own("ajout", ~F.col("verified"), "z"), own("avant", F.col("verified"), "y"))
     return lex.filter("h % 5 = 0").select(
-        F.when(F.col("h") % 10 == 0, F.concat("term", F.lit("x"))).otherwise(F.col("term")).alias("term"),
-        F.lit("ajout").alias("category"), (~F.col("verified")).alias("verified"), F.concat(F.lit("z"), "pos").alias("pos"),
+        F.when(F.col("h") % 10 == 0, F.concat("term", F.lit("x"))).otherwise(F.col("term")).alias("term"), F.explode(entries).alias("e"),
         "acronyms", "variants", "wikilink", "definition", "reference",
-    )
+    ).select("term", "e.*", "acronyms", "variants", "wikilink", "definition", "reference")
 
 
 @query("overlay_names", with_(B.LEX, OVER) + "SELECT DISTINCT term FROM over")
