@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from array import array
 from functools import lru_cache
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder, word_encoder
+from .tokens import WordEncoder, slices, word_encoder
 
 WINDOW = 32
 
@@ -61,7 +60,7 @@ class ChunkEncoder:
     and gathered anew.
     """
 
-    def __init__(self, words: WordEncoder, room: int = 48 << 20):
+    def __init__(self, words: WordEncoder, room: int = 32 << 20):
         self.words, self.room = words, room
         self.kept: dict[bytes, bytes] = {}
         self.held = self.reused = 0
@@ -129,7 +128,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
 
 
 def encode_transcripts(jobs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "raw_text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), decoded: one row a job.
+    """doc_id, ids (array of int), decoded: one row a job.
 
     The ids of the whole transcript are those of the library's ``encode`` without special
     tokens added, ``decoded`` is its ``decode`` of them with none skipped. A null text counts
@@ -140,21 +139,18 @@ def encode_transcripts(jobs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id
     def run(batches):
         coder = chunk_encoder(tokenizer)
         library = coder.words.tokenizer
-        for batch in batches:
+        for batch in slices(batches):
             ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
             decoded = [library.decode(array("I", i).tolist(), skip_special_tokens=False) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+            ends = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return jobs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("raw_text")).mapInArrow(run, "doc_id bigint, ids binary, decoded string")
+    return jobs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("raw_text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256."""
 
-    @F.arrow_udf("string")
-    def listed(ids: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(" ".join(map(str, array("I", i))).encode()).hexdigest() for i in ids.to_pylist()], pa.string())
-
-    return encoded.select(
-        "doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), listed.asNondeterministic()("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

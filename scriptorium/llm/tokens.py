@@ -52,7 +52,7 @@ class WordEncoder:
     words with other characters; what does not fit is encoded again when it comes again.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -97,6 +97,13 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, [first, *[" " + w for w in rest]]))
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in parts of at most ``rows`` rows, so that ids and texts of few documents are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each tokenizer file and worker process."""
