@@ -11,6 +11,7 @@ from ..sources import bindings as B
 from . import sqlkit as S
 from .findings_queries import LOOKUP, REFS, RESOLVE, names
 from .registry import query, with_
+from .sequence_queries import para_sql
 
 AS_OF = "2024-06-01 00:00:00"
 KEY = f"(type || ':' || {S.match_norm('citation')})"
@@ -378,10 +379,17 @@ def insert_wikilinks(spark, d):
     return p.select("doc_id", "seg_idx", insert_links("text", F.array(F.struct("quote", "title"))).alias("text"))
 
 
-@query("place_headings")
+@query(
+    "place_headings",
+    with_(B.SEG, para_sql("NULL::VARCHAR"))
+    + r"""SELECT doc_id, string_agg(CASE WHEN n > 1 AND length(regexp_replace(left(text, 40), '[^\p{L}\p{N}]', '', 'g')) >= 12 THEN '## Partie ' || first_idx || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY n) AS text
+      FROM (SELECT doc_id, first_idx, 'Partie ' || first_idx || ' : ' || text AS text, row_number() OVER (PARTITION BY doc_id ORDER BY first_idx) AS n FROM par) GROUP BY doc_id""",
+)
 def place_headings_query(spark, d):
     paras = Q.paragraphs(B.segments(spark, d, speakers=False))
-    body = paras.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_idx", "text"))).alias("p"))
+    # numbered, so that a repeated paragraph has a quote of its own
+    numbered = paras.select("doc_id", "first_idx", F.concat(F.lit("Partie "), F.col("first_idx").cast("string"), F.lit(" : "), "text").alias("text"))
+    body = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_idx", "text"))).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
     wanted = F.transform("p", lambda x: F.struct(F.concat(F.lit("Partie "), x["first_idx"].cast("string")).alias("heading"), F.left(x["text"], F.lit(40)).alias("quote")))
     return body.select("doc_id", place_headings(text, wanted).alias("text"))
