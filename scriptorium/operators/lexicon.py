@@ -99,8 +99,8 @@ def contains_join(texts: DataFrame, keys: list[str], text: str, needles: DataFra
     """Pairs where the text contains the needle, with equal ``on`` columns (part of ``keys``).
 
     Texts are met through their distinct words, never copied per word. Which word
-    contains which anchor is found once for the whole vocabulary; only then come
-    the texts back, for the candidates.
+    contains which anchor is found once for the whole vocabulary. A needle of one word (or
+    of none) is decided by that; for the others the texts come back, for the candidates.
     """
     n = needles.withColumn("_a", _anchor(F.col(needle))).withColumns({"_how": F.col("_a.how"), "_run": F.col("_a.run")}).drop("_a")
     anchors = n.select("_how", "_run").distinct()
@@ -113,8 +113,11 @@ def contains_join(texts: DataFrame, keys: list[str], text: str, needles: DataFra
         anchors.filter("_how <> 'whole'").withColumn("_g", _first_gram(F.col("_run"))).withColumn("gap", F.col("_how") == "gap"), ["gap", "_g"]
     ).filter(F.contains("w", "_run")).select("gap", "w", "_how", "_run")
     met = seen.join(parts.unionByName(whole), ["gap", "w"]).select(*keys, "_how", "_run").distinct()
-    pairs = met.join(n, [*on, "_how", "_run"]).drop("_how", "_run")
-    return pairs.join(texts.select(*keys, text), keys).filter(F.contains(text, needle))
+    decided = F.col("_run") == F.col(needle)
+    found = lambda part: met.join(n.filter(part), [*on, "_how", "_run"]).drop("_how", "_run")
+    open_ = found(~decided)
+    checked = open_.join(texts.select(*keys, F.col(text).alias("_text")), keys).filter(F.contains("_text", needle)).select(*open_.columns)
+    return found(decided).unionByName(checked)
 
 
 def lookup(citations: DataFrame, names: DataFrame, verified_only: bool = True) -> DataFrame:
