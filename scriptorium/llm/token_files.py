@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tokens import word_encoder
+from .tokens import slices, word_encoder
 
 BLOCK_DOCS, BLOCK_BYTES = 1024, 1 << 20
+MAX_FILES = 10_000  # a larger store has larger files
 BLOCKS = (
     "file int, block int, first_doc bigint, last_doc bigint, start bigint, tokens bigint, width int, dict_hash string, "
     "docs array<bigint>, offsets array<int>, lengths array<int>, payload binary"
@@ -80,12 +81,12 @@ def write_token_files(
     dictionary, width = train_dictionary(rows, tokenizer, end_id=end_id)
     dict_hash = hashlib.sha256(dictionary).hexdigest()
     total = rows.agg(F.sum(F.octet_length("raw_text").cast("bigint"))).first()[0] or 0
-    borders = _borders(rows, "doc_id", max(1, round(total / file_bytes)))
+    borders = _borders(rows, "doc_id", min(MAX_FILES, max(1, round(total / file_bytes))))
     end = int(end_id).to_bytes(4, "little")
 
     def encode(batches):
         words, packer = word_encoder(tokenizer), _packer(dictionary, level)
-        for batch in batches:
+        for batch in slices(batches):
             docs = batch.column(0)
             ids = [words.encode(t or "") + end for t in batch.column(1).to_pylist()]
             files = np.searchsorted(borders, docs.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
