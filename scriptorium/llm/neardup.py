@@ -151,8 +151,8 @@ def drop_copies(jobs: DataFrame, *, doc_id: str = "doc_id", text: str = "raw_tex
     Of rows with the same id and text the one with the smallest other columns stays.
     """
     _, groups = copy_groups(jobs, doc_id=doc_id, text=text, **params)
-    kept = groups.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest")).distinct()
-    digest = F.xxhash64(F.col(text))
-    own = jobs.select(F.struct(*[F.col(f"`{c}`") for c in jobs.columns]).alias("row"), F.col(doc_id).alias("id"), digest.alias("digest"))
-    own = own.join(kept, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
-    return own.groupBy("id", "digest").agg(F.min("row").alias("row")).select("row.*")
+    key = lambda id_, digest: (id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), digest.alias("digest"))
+    kept = groups.select(*key(F.col("first.doc_id"), F.col("first.digest"))).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in jobs.columns]).alias("row")
+    own = jobs.select(row, *key(F.col(doc_id), F.xxhash64(F.col(text)))).join(kept, ["no_id", "id", "digest"], "left_semi")
+    return own.groupBy("no_id", "id", "digest").agg(F.min("row").alias("row")).select("row.*")

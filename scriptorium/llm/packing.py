@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpointed
-from .tokens import word_encoder
+from .tokens import slices, word_encoder
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -58,8 +58,10 @@ class OpenBins:
         return name, self.capacity - room
 
 
-def cut_transcripts(jobs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "raw_text", end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """The ids of each transcript and ``end_id``, in pieces of ``capacity``: doc_id, piece, start, length, ids_crc32, ids.
+def cut_transcripts(
+    jobs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "raw_text", end_id: int = 1, capacity: int = 4096, with_ids: bool = True,
+) -> DataFrame:
+    """The ids of each transcript and ``end_id``, in pieces of ``capacity``: doc_id, piece, start, length, ids_crc32 and, ``with_ids``, ids.
 
     Only a longer transcript has more than one piece. A null text counts as empty and is
     one piece with the end id alone. A repeated row is a transcript of its own.
@@ -68,19 +70,19 @@ def cut_transcripts(jobs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id",
 
     def cut(batches):
         encode = word_encoder(tokenizer).encode
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(value or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), own))
+                    rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own), *([own] if with_ids else [])))
             if rows:
-                columns = list(zip(*rows))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")[: len(rows[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], list(names))
 
-    return jobs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("raw_text")).mapInArrow(cut, f"{PIECES}, ids binary")
+    return jobs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("raw_text")).mapInArrow(cut, f"{PIECES}, ids binary" if with_ids else PIECES)
 
 
 def pack_pieces(pieces: DataFrame, *, length: str = "length", capacity: int = 4096, open_bins: int = 64, sequences_each: int = 2048) -> DataFrame:
@@ -112,5 +114,5 @@ def pack_transcripts(
     See ``cut_transcripts`` for nulls, empty texts and repeats. Only lengths and
     checksums are shuffled; ``cut_transcripts`` gives the ids of a piece.
     """
-    pieces = cut_transcripts(jobs, tokenizer, doc_id=doc_id, text=text, end_id=end_id, capacity=capacity).drop("ids")
+    pieces = cut_transcripts(jobs, tokenizer, doc_id=doc_id, text=text, end_id=end_id, capacity=capacity, with_ids=False)
     return pack_pieces(checkpointed(pieces), capacity=capacity, open_bins=open_bins)
