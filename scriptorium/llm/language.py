@@ -69,9 +69,11 @@ def learn_profiles(
     rows = jobs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("raw_text"), F.col(language).alias("language"))
     rows = rows.filter(trained_on("doc_id") & F.col("language").isNotNull() & F.col("raw_text").isNotNull())
     # hashes below twice the wanted share first, so that a language of most rows is no large sort
-    known = rows.groupBy("language").agg(F.count(F.lit(1)).alias("known"))
+    known = rows.groupBy("language").agg(F.count(F.lit(1)).alias("known")).limit(MAX_LANGUAGES + 1)
+    if known.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double")
-    likely = rows.select("doc_id", "language").join(known, "language").filter(part * F.col("known") < float((1 << 32) * (2 * sample + 100)))
+    likely = rows.select("doc_id", "language").join(F.broadcast(known), "language").filter(part * F.col("known") < float((1 << 32) * (2 * sample + 100)))
     order = W.partitionBy("language").orderBy(part, "doc_id")
     chosen = likely.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
     chosen = chosen.select("doc_id", F.col("language").alias("label"))
@@ -93,10 +95,8 @@ def learn_profiles(
     best = W.partitionBy("language").orderBy(F.desc("n"), "gram")
     top = totals.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size).select("language", "gram", "rank")
     profiles: dict[str, list[int]] = {}
-    for row in top.limit(size * MAX_LANGUAGES + 1).orderBy("language", "rank").toLocalIterator():
+    for row in top.orderBy("language", "rank").toLocalIterator():  # size grams of at most MAX_LANGUAGES
         profiles.setdefault(row["language"], []).append(row["gram"])
-    if len(profiles) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return profiles
 
 
