@@ -33,14 +33,14 @@ def marks(spark, d):
 
 @query(
     "set_text",
-    with_(B.SEG) + """SELECT doc_id, seg_idx AS pos, CASE WHEN seg_idx % 3 = 0 THEN 'Neuf ' || text || ' fin' ELSE text END AS text, n AS n_words, round("start" + ("end" - "start") / n, 3) AS first_end
+    with_(B.SEG) + """SELECT doc_id, seg_idx AS pos, CASE WHEN seg_idx % 3 = 0 THEN 'Neuf ' || text || ' fin' ELSE text END AS text, n AS n_words, floor(round("start" + ("end" - "start") / n, 3) * 10)::BIGINT AS first_end
       FROM (SELECT *, (len(list_filter(string_split(text, ' '), lambda x: x <> '')) + CASE WHEN seg_idx % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS n FROM seg)""",
 )
 def set_text(spark, d):
     b = blocks(spark, d, words=True)
     e = b.filter("pos % 3 = 0").select("doc_id", "block_id", F.concat(F.lit("Neuf "), "text", F.lit(" fin")).alias("text"), F.lit(1).alias("seq"))
     out = E.set_text(b, e)
-    return out.select("doc_id", "pos", "text", F.size("words").cast("bigint").alias("n_words"), F.element_at("words", 1)["end"].alias("first_end"))
+    return out.select("doc_id", "pos", "text", F.size("words").cast("bigint").alias("n_words"), F.floor(F.element_at("words", 1)["end"] * 10).alias("first_end"))
 
 
 @query(

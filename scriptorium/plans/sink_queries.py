@@ -128,7 +128,7 @@ pts AS (SELECT doc_id, count(*) FILTER (verdict <> 'confirme') AS n FROM verd GR
 ents AS (SELECT doc_id, field, list('"[[' || link || ']]"' ORDER BY pos) AS l FROM (
     SELECT doc_id, CASE type WHEN 'nom_propre' THEN 'personnes' WHEN 'organisme' THEN 'organismes' WHEN 'reference_juridique' THEN 'references' END AS field, {link} AS link, min(pos) AS pos
     FROM (SELECT *, trim(citation) AS name FROM verd WHERE verdict = 'confirme') {nk} GROUP BY ALL) WHERE field IS NOT NULL GROUP BY doc_id, field),
-alia AS (SELECT doc_id, list(CASE WHEN regexp_matches(a, '[:#{{}}\\[\\]&*!|>''"%@`,]') THEN '"' || a || '"' ELSE a END ORDER BY pos) AS l FROM (SELECT doc_id, name || ' → ' || {link} AS a, min(pos) AS pos FROM (SELECT *, trim(citation) AS name FROM verd WHERE verdict = 'confirme') {nk} WHERE name <> {link} GROUP BY ALL) GROUP BY doc_id),
+alia AS (SELECT doc_id, list(CASE WHEN regexp_matches(a, '[:#{{}}\\[\\]&*!|>''"%@`,]') OR a <> trim(a) THEN '"' || a || '"' ELSE a END ORDER BY pos) AS l FROM (SELECT doc_id, name || ' → ' || {link} AS a, min(pos) AS pos FROM (SELECT *, trim(citation) AS name FROM verd WHERE verdict = 'confirme') {nk} WHERE name <> {link} GROUP BY ALL) GROUP BY doc_id),
 st AS (SELECT jobs.*, coalesce(n, 0) AS n, CASE WHEN status NOT IN ('checked', 'published') THEN 'non_verifie' WHEN coalesce(n, 0) > 0 THEN 'incertain' ELSE 'verifie' END AS note_status FROM jobs LEFT JOIN pts USING (doc_id)),
 note AS (
   SELECT doc_id, 0::BIGINT AS seq, concat_ws(chr(10), '---', 'type: note', 'domaine: droit', 'statut_verification: ' || note_status, 'points_incertains: ' || n, 'titre: ' || coalesce(title, filename),
