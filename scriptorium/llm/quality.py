@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import zstandard
@@ -60,6 +60,11 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return covered
 
 
+def base_fails(found: tuple[int, int, int, int, int]) -> bool:
+    """Fewer than 10 words, or more than a fifth of them repeated."""
+    return found[0] < 10 or 100 * found[4] > 20 * found[0]
+
+
 class Compression:
     """Ratios of a text and of its chunks, and the verdict of the bands."""
 
@@ -69,6 +74,10 @@ class Compression:
     def ratio(self, data) -> float:
         return len(self.packer.compress(data)) / len(data)
 
+    def chunk_ratios(self, text: bytes) -> list[float]:
+        view, chunk = memoryview(text), self.bands.chunk
+        return [self.ratio(view[i : i + chunk]) for i in range(0, len(text) - chunk + 1, chunk)]
+
     def judge(self, text: bytes) -> tuple[float | None, int, int, bool]:
         """Ratio of the whole, whole chunks, chunks outside their limits, whether the text passes."""
         bands = self.bands
@@ -77,10 +86,9 @@ class Compression:
         ratio = self.ratio(text)
         limits = [(low, high) for size, low, high in bands.whole if len(text) >= size]
         passes = not limits or limits[-1][0] <= ratio <= limits[-1][1]
-        view = memoryview(text)
-        starts = range(0, len(text) - bands.chunk + 1, bands.chunk)
-        bad = sum(not bands.chunk_low <= self.ratio(view[i : i + bands.chunk]) <= bands.chunk_high for i in starts)
-        return ratio, len(starts), bad, passes and bad <= bands.bad_chunks * len(starts)
+        chunks = self.chunk_ratios(text)
+        bad = sum(not bands.chunk_low <= r <= bands.chunk_high for r in chunks)
+        return ratio, len(chunks), bad, passes and bad <= bands.bad_chunks * len(chunks)
 
 
 def quality_rules(jobs: DataFrame, *, text: str = "raw_text", bands: Bands = Bands(), to: str = "quality") -> DataFrame:
@@ -100,7 +108,7 @@ def quality_rules(jobs: DataFrame, *, text: str = "raw_text", bands: Bands = Ban
         for value in texts.cast(pa.binary()).to_pylist():
             value = value or b""
             found = measures(value)
-            failed = found[0] < 10 or 100 * found[4] > 20 * found[0]
+            failed = base_fails(found)
             ratio, chunks, bad, passes = judge(value)
             out.append((*found, failed, ratio, chunks, bad, passes and not failed))
         names = (*MEASURES, "base_failed", "ratio", "chunks", "bad_chunks", "kept")
@@ -109,3 +117,55 @@ def quality_rules(jobs: DataFrame, *, text: str = "raw_text", bands: Bands = Ban
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
 
     return jobs.withColumn(to, rate.asNondeterministic()(F.col(text)))
+
+
+def length_class(size: int) -> int:
+    """Half octaves: class k has from 2 ** (k / 2) bytes."""
+    k = 2 * (size.bit_length() - 1)
+    return k + (size * size >= 1 << (k + 1))
+
+
+def learn_bands(jobs: DataFrame, *, text: str = "raw_text", bands: Bands = Bands(), fence: float = 2.0, margin: float = 0.01, least: int = 20) -> Bands:
+    """Bands whose limits come from the ratios of all texts that the word rules pass.
+
+    For each half octave of length, and for the chunks of all lengths, the limits lie
+    ``fence`` times the distance of the quartiles outside of the quartiles, that distance
+    taken as ``margin`` at least. Quartiles do not move with the bad texts as long as those
+    are few. Equal texts count once. A class of fewer than ``least`` texts or chunks keeps
+    the limits of ``bands``, and nothing is judged below its first length.
+
+    Ratios are counted in steps of 1/10,000, so a few thousand rows a class are sorted.
+    """
+    first = bands.whole[0][0] if bands.whole else 0
+
+    @F.arrow_udf("array<struct<class:int,ratio:int>>")
+    def ratios(texts: pa.Array) -> pa.Array:
+        judge, out = Compression(bands), []
+        for value in texts.cast(pa.binary()).to_pylist():
+            value = value or b""
+            found = []
+            if not base_fails(measures(value)):
+                if len(value) >= max(first, 1):
+                    found.append((length_class(len(value)), judge.ratio(value)))
+                found += [(-1, r) for r in judge.chunk_ratios(value)]
+            out.append([{"class": k, "ratio": round(10_000 * r)} for k, r in found])
+        return pa.array(out, pa.list_(pa.struct([("class", pa.int32()), ("ratio", pa.int32())])))
+
+    rated = jobs.select(F.xxhash64(F.col(text)).alias("digest"), ratios.asNondeterministic()(F.col(text)).alias("found"))
+    once = rated.groupBy("digest").agg(F.first("found").alias("found"))
+    counts = once.select(F.explode("found").alias("f")).groupBy("f.class", "f.ratio").agg(F.count(F.lit(1)).alias("n"))
+    quartiles = counts.groupBy("class").agg(F.sum("n").alias("n"), F.expr("percentile(ratio, array(0.25, 0.75), n)").alias("q")).filter(F.col("n") >= least)
+    limits = {}
+    for row in quartiles.collect():  # a row a class: two for each doubling of length
+        low, high = (q / 10_000 for q in row["q"])
+        gap = fence * max(high - low, margin)
+        limits[row["class"]] = (low - gap, high + gap)
+    learned = replace(bands, chunk_low=limits[-1][0], chunk_high=limits[-1][1]) if -1 in limits else bands
+    starts = {size: (low, high) for size, low, high in bands.whole}
+    for k in (k for k in limits if k >= 0):
+        for at in (k, k + 1):  # where the class begins, and where the next one does
+            size = max(first, next(x for x in range(int(2 ** (at / 2)), int(2 ** (at / 2)) + 3) if length_class(x) == at))
+            kept = [x for x in bands.whole if size >= x[0]]
+            starts.setdefault(size, kept[-1][1:])
+    whole = [(size, *limits.get(length_class(size), starts[size])) for size in sorted(starts)]
+    return replace(learned, whole=tuple(whole))

@@ -45,7 +45,8 @@ def op2_best_fit_packing(spark, sf_dir):
 
 @query
 def op3_compression_bands(spark, sf_dir):
-    rated = quality.quality_rules(jobs(spark, sf_dir))
+    own = jobs(spark, sf_dir)
+    rated = quality.quality_rules(own, bands=quality.learn_bands(own))
     return rated.select("doc_id", "quality.*")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from scriptorium.llm import neardup
+from scriptorium.llm import neardup, quality
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int"
 
@@ -65,3 +65,33 @@ def test_near_copies_of_changed_words_go(spark, bucket):
     if bucket == 32:
         kept = corpus_pipeline.distinct(spark, docs, "")
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_bands_follow_the_ratios_of_all_texts(spark):
+    """Texts of few repeated syllables lie inside the fixed limits but far from the others."""
+    good = {i: " ".join(prose(i, 700)) for i in range(150)}
+    draw = np.random.default_rng(1)
+    syllables = ["".join(draw.choice(list("etaoin"), 2)) for _ in range(24)]
+    bad = {1000 + i: " ".join("".join(draw.choice(syllables, 2)) for _ in range(800)) for i in range(12)}
+    copies = {2000 + i: good[0] for i in range(300)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in {**good, **bad, **copies}.items()] + [(9000, None, "en", "s", 1)], DOCS).repartition(3)
+    fixed = quality.Compression(quality.Bands()).judge
+    assert all(fixed(t.encode())[3] for t in bad.values())
+    bands = quality.learn_bands(docs, text="text")
+    kinds = {}
+    for t in good.values():
+        kinds.setdefault(quality.length_class(len(t)), []).append(quality.Compression(bands).ratio(t.encode()))
+    k = max(kinds, key=lambda x: len(kinds[x]))
+    low, high = np.percentile(kinds[k], [25, 75])
+    gap = 2 * max(high - low, 0.01)
+    found = [b[1:] for b in bands.whole if quality.length_class(b[0]) == k][-1]
+    assert found == pytest.approx((low - gap, high + gap), abs=0.002)
+    kept = {r["doc_id"] for r in corpus_pipeline.readable(spark, docs, "").collect()}
+    assert kept == {*good, *copies}
+    assert quality.learn_bands(docs.limit(0), text="text") == quality.Bands()
+
+
+def test_length_classes():
+    for size in range(1, 5000):
+        k = quality.length_class(size)
+        assert 2 ** (k / 2) <= size * (1 + 1e-12) and size < 2 ** ((k + 1) / 2) * (1 + 1e-12)
