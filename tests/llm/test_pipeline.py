@@ -1,10 +1,13 @@
 """The stages of the corpus pipeline on planted rows, beside brute force."""
 
+import base64
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from scriptorium.llm import neardup, quality
+from tests.llm.test_text_operators import speech
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int"
 
@@ -95,3 +98,13 @@ def test_length_classes():
     for size in range(1, 5000):
         k = quality.length_class(size)
         assert 2 ** (k / 2) <= size * (1 + 1e-12) and size < 2 ** ((k + 1) / 2) * (1 + 1e-12)
+
+
+def test_noise_and_untaught_languages_go(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, speech("fr" if i % 3 else "en", i), ("fr" if i % 3 else "en") if i % 5 else None, "s", 1) for i in range(300)]
+    polish = "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem"
+    junk = [base64.b64encode(draw.bytes(400)).decode(), "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz   "), 600)), polish, "все люди рождаются свободными", "12 34 !!", "", None]
+    rows += [(1000 + i, t, "en" if t == "" else None, "s", 1) for i, t in enumerate(junk)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == set(range(300))
