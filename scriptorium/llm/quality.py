@@ -20,7 +20,7 @@ class Bands:
     """Limits of compressed size over size, by length: (bytes from, lowest, highest).
 
     Below the first length nothing is judged. ``chunk`` bytes make a chunk, which has limits
-    of its own; a text fails if more than ``bad_chunks`` of its whole chunks lie outside.
+    of its own; a text fails if more than ``bad_chunks`` of its chunks lie outside.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
@@ -75,11 +75,15 @@ class Compression:
         return len(self.packer.compress(data)) / len(data)
 
     def chunk_ratios(self, text: bytes) -> list[float]:
+        """Of whole chunks; what is left after them is judged by a last chunk that ends with the text."""
         view, chunk = memoryview(text), self.bands.chunk
-        return [self.ratio(view[i : i + chunk]) for i in range(0, len(text) - chunk + 1, chunk)]
+        starts = [*range(0, len(text) - chunk + 1, chunk)]
+        if starts and len(text) % chunk:
+            starts.append(len(text) - chunk)
+        return [self.ratio(view[i : i + chunk]) for i in starts]
 
     def judge(self, text: bytes) -> tuple[float | None, int, int, bool]:
-        """Ratio of the whole, whole chunks, chunks outside their limits, whether the text passes."""
+        """Ratio of the whole, chunks, chunks outside their limits, whether the text passes."""
         bands = self.bands
         if not text:
             return None, 0, 0, True

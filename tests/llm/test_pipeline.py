@@ -108,3 +108,12 @@ def test_noise_and_untaught_languages_go(spark):
     rows += [(1000 + i, t, "en" if t == "" else None, "s", 1) for i, t in enumerate(junk)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     assert {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()} == set(range(300))
+
+
+def test_the_end_of_a_text_is_a_chunk_too():
+    judge = quality.Compression(quality.Bands()).judge
+    good = " ".join(prose(5, 500)).encode()
+    assert judge(good[:1024])[1:] == (1, 0, True) and judge(good[:1023])[1:] == (0, 0, True)
+    ratio, chunks, bad, passes = judge(good[:1400] + b"ab " * 200)
+    assert 0.36 <= ratio <= 0.74 and (chunks, bad, passes) == (2, 1, False)
+    assert judge(good[:2000])[1:] == (2, 0, True) and judge(good[:2048])[1:] == (2, 0, True)
