@@ -191,47 +191,42 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)], np.uint64)
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= least * (len(a) + len(b) - common) - 1e-9
-
-
 def _sketch(text: Column, words: int, bands: int, rows: int) -> Column:
     """Struct of code, which texts with equal shingles share, and keys of the bands."""
 
     @F.arrow_udf("struct<code:bigint,keys:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t or b"", words) for t in texts.cast(pa.binary()).to_pylist()]
-        codes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-        keys = np.array([band_keys(s, bands, rows) for s in sets], np.uint64).reshape(-1).view(np.int64)
-        offsets = pa.array(np.arange(0, bands * len(sets) + 1, bands), pa.int32())
-        return pa.StructArray.from_arrays([pa.array(codes), pa.ListArray.from_arrays(offsets, pa.array(keys))], ["code", "keys"])
+        codes, keys = np.empty(len(texts), np.uint64), np.empty((len(texts), bands), np.uint64)
+        for at in range(0, len(texts), 256):
+            for i, t in enumerate(texts.slice(at, 256).cast(pa.binary()).to_pylist(), at):
+                found = shingles(t or b"", words)
+                codes[i], keys[i] = xxhash.xxh64_intdigest(found.tobytes(), 42), band_keys(found, bands, rows)
+        offsets = pa.array(np.arange(0, bands * len(texts) + 1, bands), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(codes.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).reshape(-1)))], ["code", "keys"])
 
     return of.asNondeterministic()(text)
 
 
-def _shingle_bytes(text: Column, words: int) -> Column:
-    @F.arrow_udf("binary")
+def _shingle_set(text: Column, words: int) -> Column:
+    @F.arrow_udf("array<bigint>")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(t or b"", words).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+        parts = [pa.array([], pa.list_(pa.int64()))]
+        for at in range(0, len(texts), 256):
+            found = [shingles(t or b"", words).view(np.int64) for t in texts.slice(at, 256).cast(pa.binary()).to_pylist()]
+            parts.append(pa.array(found, pa.list_(pa.int64())))
+        return pa.concat_arrays(parts)
 
     return of.asNondeterministic()(text)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose shingle sets have Jaccard similarity ``least`` or more."""
-
-    @F.arrow_udf("boolean")
-    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
-        whole = [[np.frombuffer(v.as_buffer(), np.uint64) for v in side] for side in (left, right)]
-        return pa.array([similar(x, y, least) for x, y in zip(*whole)], pa.bool_())
-
     one, two = sets.select(F.col("code").alias("a"), F.col("set").alias("x")), sets.select(F.col("code").alias("b"), F.col("set").alias("y"))
-    long = F.greatest(F.length("x"), F.length("y"))
-    met = pairs.join(one, "a").join(two, "b").filter(F.least(F.length("x"), F.length("y")) >= least * long)
-    return met.filter(alike("x", "y")).select("a", "b")
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    met = pairs.join(one, "a").join(two, "b").filter(small >= least * large - 1e-9)
+    both = F.size("x") + F.size("y")
+    common = F.size(F.array_intersect("x", "y"))
+    return met.filter((both == 0) | (common >= least * (both - common) - 1e-9)).select("a", "b")
 
 
 def similar_groups(
@@ -309,4 +304,4 @@ def _sets(jobs: DataFrame, codes: DataFrame, pairs: DataFrame, doc_id: str, text
     wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
     named = codes.join(wanted, "code", "left_semi").select("code", *_row_key(F.col("first.doc_id"), F.col("first.digest")))
     own = jobs.select(F.col(text).alias("text"), *_row_key(F.col(doc_id), F.xxhash64(F.col(text)))).join(named, ["no_id", "id", "digest"])
-    return checkpointed(own.select("code", _shingle_bytes(F.col("text"), words).alias("set")).dropDuplicates(["code"]))
+    return checkpointed(own.select("code", _shingle_set(F.col("text"), words).alias("set")).dropDuplicates(["code"]))
