@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from scriptorium.llm import neardup, quality
-from tests.llm.test_text_operators import speech
+from tests.llm.test_text_operators import ENGLISH, FRENCH, speech
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int"
 
@@ -117,3 +117,27 @@ def test_the_end_of_a_text_is_a_chunk_too():
     ratio, chunks, bad, passes = judge(good[:1400] + b"ab " * 200)
     assert 0.36 <= ratio <= 0.74 and (chunks, bad, passes) == (2, 1, False)
     assert judge(good[:2000])[1:] == (2, 0, True) and judge(good[:2048])[1:] == (2, 0, True)
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    """Clashing columns, repeated rows, null ids; each stage beside a plain loop over its rows."""
+    def said(n):
+        return " ".join(np.random.default_rng(n).choice((FRENCH if n % 2 else ENGLISH).split(), 60))
+
+    schema = DOCS + ", detected string, quality int"
+    rows = [(i, said(i), "fr" if i % 2 else "en", "s", 1, "d", 2) for i in range(40)]
+    rows += [rows[0], (None, said(50), None, None, None, None, None), (100, "a " * 100, "en", "s", 1, "d", 2), (101, None, "en", "s", 1, "d", 2)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    known = corpus_pipeline.known_language(spark, docs, "")
+    assert known.columns == docs.columns and {r["doc_id"] for r in known.collect()} >= {*range(40), None} and 101 not in {r["doc_id"] for r in known.collect()}
+    good = corpus_pipeline.readable(spark, known, "")
+    judge = quality.Compression(quality.learn_bands(known, text="text")).judge
+    want = [r for r in known.collect() if not quality.base_fails(quality.measures(r["text"].encode())) and judge(r["text"].encode())[3]]
+    assert good.columns == docs.columns and sorted(map(str, good.collect())) == sorted(map(str, want)) and 100 not in {r["doc_id"] for r in want} and len(want) > 30
+    once = corpus_pipeline.distinct(spark, good, "")
+    assert once.columns == docs.columns
+    numbered = {-1 if r["doc_id"] is None else r["doc_id"]: r["text"] for r in want}
+    assert once.count() == len(set(brute_groups(numbered).values()))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.packed(spark, once, "").select("doc_id").distinct().count() == once.select("doc_id").distinct().count()
