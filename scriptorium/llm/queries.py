@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import ann, chat, chunks, language, neardup, packing, preference, quality, sharding, token_files
+from . import ann, centroids, chat, chunks, decontamination, language, neardup, packing, phrases, preference, quality, sharding, token_files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,14 @@ def query(fn):
     return fn
 
 
+def with_sql(sql: str):
+    def register(fn):
+        ORACLES[fn.__name__] = sql
+        return query(fn)
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -98,3 +106,76 @@ def op9_chat_formatting(spark, sf_dir):
 @query
 def op10_chunk_reuse_bpe(spark, sf_dir):
     return chunks.digests(chunks.encode_transcripts(jobs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CASE_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_CASE_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_CASE_WORDS} AS w FROM benchmark),
+items AS (SELECT item_id, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i, w FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS said FROM items),
+starts AS (SELECT row, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+found AS (SELECT row, i, size, item_id FROM (SELECT row, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS said FROM starts) JOIN windows USING (size, said)),
+hits AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS word FROM (SELECT DISTINCT row, i, size FROM found)) GROUP BY row),
+named AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (row) LEFT JOIN named USING (row)"""
+
+
+@with_sql(OP11_SQL)
+def op11_winnowing_decontamination(spark, sf_dir):
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("raw"))
+    found = decontamination.contamination(jobs(spark, sf_dir), cases)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("case_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("case_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def _op12_sql(count: int = 16, rounds: int = 3) -> str:
+    steps = [f"""WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT row, unnest(range(1, 65)) AS d, unnest(x) AS x FROM v),
+s AS (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS k FROM v),
+c0 AS MATERIALIZED (SELECT k, unnest(range(1, 65)) AS d, unnest(x) AS c FROM s WHERE k < {count})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT row, arg_min(k, (gap, k)) AS k, min(gap) AS gap FROM (SELECT row, k, sum((x - c) * (x - c)) AS gap FROM e JOIN c{r} USING (d) GROUP BY row, k) GROUP BY row)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, d, sum(x)::BIGINT AS x, count(*)::BIGINT AS n FROM a{r} JOIN e USING (row) GROUP BY k, d),
+c{r + 1} AS MATERIALIZED (SELECT k, d, coalesce(CASE WHEN x >= 0 THEN x // n ELSE -((-x + n - 1) // n) END, c)::BIGINT AS c FROM c{r} LEFT JOIN m{r} USING (k, d))""")
+    steps.append(f"h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(gap AS BIGINT) AS distance, CAST(sum(gap) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+CAST(sum(gap) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM v JOIN a{rounds} USING (row) JOIN h USING (k)"""
+
+
+@with_sql(_op12_sql())
+def op12_va_file_centroids(spark, sf_dir):
+    found = centroids.centroid_groups(table(spark, sf_dir, "embeddings"))
+    sha = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.withColumn("centroid_sha256", sha).drop("centroid")
+
+
+OP13_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS row, {_LOWER.format("coalesce(text, '')")} AS text FROM documents),
+s AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM p),
+f AS MATERIALIZED (SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, size, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM s, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(w) >= size) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS x, array_to_string(list_slice(w, k + 1, size), ' ') AS y FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+scored AS (SELECT lang, cuts.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts JOIN f l USING (lang) JOIN f r USING (lang) WHERE l.phrase = x AND r.phrase = y),
+low AS (SELECT lang, phrase, a, l, r, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, w, a, n, unnest(range(1, size - n + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS n) WHERE size > n) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low LEFT JOIN inner_ USING (lang, phrase) JOIN total USING (lang) WHERE most IS NULL OR CAST(most AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80
+QUALIFY rank <= 2000"""
+
+
+@with_sql(OP13_SQL)
+def op13_prefix_free_phrases(spark, sf_dir):
+    return phrases.mine_phrases(jobs(spark, sf_dir)).withColumnRenamed("language", "lang")
