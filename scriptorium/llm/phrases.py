@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import uuid
-from itertools import repeat
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,59 +18,160 @@ from ..session import shared_dir
 
 UNKNOWN = "und"
 LONGEST = 4  # words of a phrase
-CHUNK_FIELDS = "language string, last boolean, chunk string, n bigint"
+OVERLAP = LONGEST - 1
 BITS = 1 << 26  # of the filter of frequent phrases, 8 MB at every size of the corpus
-_LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-_PIECE = re.compile("[.,;:!?\n\x0b\x0c\r]")
-_WORD = re.compile("[^ \t]+")
+WINDOW = 4 << 20  # bytes of text that are looked at together
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, one for each of two hashes
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+#: Kind of a byte: 0 in a word, 1 between words, 2 between pieces.
+KIND = np.zeros(256, np.uint8)
+KIND[[0x20, 0x09]] = 1
+KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
+
+
+@lru_cache(maxsize=8)
+def _powers(multiplier: int, length: int) -> np.ndarray:
+    out = np.full(length, multiplier, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _size(length: int) -> int:
+    return max(WINDOW, 1 << max(length - 1, 1).bit_length())
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier: int) -> np.ndarray:
+    """A hash of values[start:end] for each pair, equal for equal runs wherever they stand."""
+    power, inverse = (_powers(m, _size(len(values) + 1)) for m in (multiplier, pow(multiplier, -1, 1 << 64)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values + np.uint64(1)) * power[: len(values)])))
+    return _mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+@dataclass
+class Words:
+    """The words of a window of texts: ``row`` their text, ``piece`` their piece; word i is clean[begin[i]:finish[i]], and one space parts the words of a piece."""
+
+    clean: np.ndarray
+    begin: np.ndarray
+    finish: np.ndarray
+    row: np.ndarray
+    piece: np.ndarray
+    hashes: list[np.ndarray]
+
+    def texts(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The words first to last (included) of one piece, as strings."""
+        start, length = self.begin[first], self.finish[last] - self.begin[first]
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+        at = np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])
+        return pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.clean[at])])
+
+
+def words_of(texts: pa.Array, window: int = WINDOW) -> Iterator[Words]:
+    """Words with A-Z lowered, some ``window`` bytes of text after the other; a window ends between pieces."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo, end = int(offsets[0]), int(offsets[-1])
+    while lo < end:
+        hi = min(lo + window, end)
+        if hi < end:
+            inner = offsets[(offsets > lo) & (offsets <= hi)]
+            cut = np.flatnonzero(KIND[data[lo:hi]] == 2) if not len(inner) else None
+            if cut is None:
+                hi = int(inner[-1])
+            elif len(cut):
+                hi = lo + int(cut[-1]) + 1
+            else:  # one piece without an end in sight
+                stop = int(offsets[np.searchsorted(offsets, hi)])
+                while hi < stop and KIND[data[hi - 1]] != 2:
+                    step = np.flatnonzero(KIND[data[hi : min(hi + window, stop)]] == 2)
+                    hi = hi + int(step[0]) + 1 if len(step) else min(hi + window, stop)
+        yield _words(LOWER[data[lo:hi]], offsets, lo)
+        lo = hi
+
+
+def _words(low: np.ndarray, offsets: np.ndarray, lo: int) -> Words:
+    kind = KIND[low]
+    inside = kind == 0
+    opens = np.zeros(len(low) + 1, bool)  # whether a text begins here
+    own = offsets[(offsets >= lo) & (offsets <= lo + len(low))] - lo
+    opens[own] = True
+    before = np.concatenate(([False], inside[:-1]))
+    first = inside & (~before | opens[:-1])
+    after = np.concatenate((inside[1:], [False]))
+    final = inside & (~after | opens[1:])
+    s, e = np.flatnonzero(first), np.flatnonzero(final) + 1
+    piece = np.cumsum((kind == 2) | opens[:-1])[s]
+    row = np.searchsorted(offsets, s + lo, side="right") - 1
+    keep = inside | np.concatenate(([False], final[:-1] & ~inside[1:]))  # a word and the one byte behind it
+    clean = np.where(inside, low, np.uint8(0x20))[keep]
+    place = np.concatenate(([0], np.cumsum(keep)))
+    values = low.astype(np.uint64)
+    return Words(clean, place[s], place[e], row, piece, [_sequence_hashes(values, s, e, m) for m in MULTIPLIERS])
+
+
+def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the rows sorted so that equal keys stand together, and where each group begins in that order.
+
+    Two 64-bit hashes are compared; the second one sorts too if it ever parts rows that the first one joins.
+    """
+    order = np.argsort(keys[0], kind="stable")
+    one, two = keys[0][order], keys[1][order]
+    new = np.concatenate(([True], one[1:] != one[:-1]))[: len(one)]
+    if (two[1:] != two[:-1])[~new[1:]].any():
+        order = np.lexsort((keys[1], keys[0]))
+        one, two = keys[0][order], keys[1][order]
+        new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    return order, np.flatnonzero(new)
+
+
+def cut_chunks(words: Words, every: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, last) of the chunks of each piece, as word numbers; neighbours share ``OVERLAP`` words.
+
+    A chunk ends behind ``OVERLAP`` words whose hashes sum to a multiple of ``every``, and
+    the next one begins with them, so equal passages are cut alike wherever they stand. A
+    phrase that starts before the last ``OVERLAP`` words of a chunk lies inside it; the
+    ``last`` chunk of a piece owns all its words.
+    """
+    n, piece = len(words.piece), words.piece
+    heads = np.concatenate(([True], piece[1:] != piece[:-1]))[:n]
+    tail = np.append(np.flatnonzero(heads)[1:], n)[np.cumsum(heads) - 1] if n else piece  # where each word's piece ends
+    sums = words.hashes[0].copy()
+    for by in range(1, OVERLAP):
+        sums[: n - by] += words.hashes[0][by:]
+    trigger = (sums % np.uint64(every) == 0) & (np.arange(n) + OVERLAP < tail)
+    start = np.flatnonzero(heads | trigger)
+    following = np.append(start[1:], n)
+    last = following == tail[start] if n else np.zeros(0, bool)
+    return start, np.where(last, tail[start], following + OVERLAP) if n else start, last
 
 
-def cut_chunks(words: list[str], overlap: int = LONGEST - 1, every: int = 32, memo: dict | None = None) -> list[tuple[int, int]]:
-    """(start, end) of the chunks of a piece; neighbours share ``overlap`` words.
+def _language_keys(names: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(n) for n in names], np.uint64)
 
-    A chunk ends behind ``overlap`` words whose hashes sum to a multiple of ``every``, so
-    equal passages are cut alike wherever they stand. A phrase that starts before the last
-    ``overlap`` words of a chunk lies inside it; the last chunk of a piece owns all its words.
-    """
-    if len(words) <= 2 * overlap:
-        return [(0, len(words))]
-    memo = {} if memo is None else memo
-    codes = [memo.get(w) for w in words]
-    for i, c in enumerate(codes):
-        if c is None:
-            codes[i] = xxhash.xxh32_intdigest(words[i])
-            if len(memo) < 200_000:
-                memo[words[i]] = codes[i]
-    sums = np.convolve(np.array(codes, np.int64), np.ones(overlap, np.int64), "valid")
-    cuts = (np.flatnonzero(sums % every == 0)).tolist()  # a chunk ends behind the trigger, the next one begins with it
-    borders = [0, *[c for c in cuts if 0 < c and c + overlap < len(words)]]
-    return [(a, (b + overlap)) for a, b in zip(borders, borders[1:])] + [(borders[-1], len(words))]
-
-
-def _parse(batches, every: int, most: int = 200_000):
-    """Chunks of transcripts, summed up within a task while at most ``most`` of them are held."""
-    held: dict[tuple, int] = {}
-    memo: dict[str, int] = {}
-
-    def out():
-        languages, lasts, chunks = zip(*held) if held else ((), (), ())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(languages, pa.string()), pa.array(lasts, pa.bool_()), pa.array(chunks, pa.string()), pa.array(list(held.values()), pa.int64())],
-            ["language", "last", "chunk", "n"])
 
+def _parse(batches, every: int):
+    """The distinct chunks of each window of transcripts with their counts."""
     for batch in batches:
-        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for piece in _PIECE.split((text or "").translate(_LOWER)):
-                words = _WORD.findall(piece)
-                if not words:
-                    continue
-                for start, end in cut_chunks(words, every=every, memo=memo):
-                    key = language, end == len(words), " ".join(words[start:end])
-                    held[key] = held.get(key, 0) + 1
-                if len(held) >= most:
-                    yield out()
-                    held.clear()
-    yield out()
+        coded = batch.column(0).dictionary_encode()
+        names, codes = coded.dictionary, coded.indices.to_numpy()
+        for words in words_of(batch.column(1)):
+            start, end, last = cut_chunks(words, every)
+            language = codes[words.row[start]] if len(start) else start
+            keys = [_mixed(_sequence_hashes(h, start, end, m) ^ (2 * language + last).astype(np.uint64)) for h, m in zip(words.hashes, MULTIPLIERS)]
+            order, first = _grouped(keys)
+            n = np.diff(np.append(first, len(order)))
+            chosen = order[first]
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(language[chosen])), pa.array(last[chosen]), words.texts(start[chosen], end[chosen] - 1), pa.array(n)],
+                ["language", "last", "chunk", "n"])
 
 
 def chunk_dictionary(jobs: DataFrame, *, text: str = "raw_text", language: str = "language", every: int = 32) -> DataFrame:
@@ -78,27 +180,46 @@ def chunk_dictionary(jobs: DataFrame, *, text: str = "raw_text", language: str =
     ``last`` tells whether a chunk ends its piece and so owns all phrases that start in it.
     """
     rows = jobs.select(F.coalesce(F.col(language), F.lit(UNKNOWN)).alias("language"), F.col(text).alias("text"))
-    parsed = rows.mapInArrow(lambda batches: _parse(batches, every), CHUNK_FIELDS)
+    parsed = rows.mapInArrow(lambda batches: _parse(batches, every), "language string, last boolean, chunk string, n bigint")
     return parsed.groupBy("language", "last", "chunk").agg(F.sum("n").alias("n"))
 
 
-def _bit(language: str, phrase: str) -> int:
-    return xxhash.xxh64_intdigest(f"{language}\t{phrase}".encode(), 42) % BITS
+def _phrase_hashes(words: Words, ends: np.ndarray, size: int) -> list[np.ndarray]:
+    """Hashes of the ``size`` words from each word on; without meaning where the row ends before."""
+    start = np.arange(len(words.row))
+    return [_sequence_hashes(h, start, np.minimum(start + size, ends), m) for h, m in zip(words.hashes, MULTIPLIERS)]
+
+
+def _row_ends(words: Words) -> np.ndarray:
+    return np.searchsorted(words.row, words.row, side="right")
 
 
 def _frequent_bits(frequent: DataFrame) -> np.ndarray:
     """One bit for the hash of each frequent phrase: a filter of fixed size that may let others pass, never the reverse."""
-    hashed = F.xxhash64(F.concat("language", F.lit("\t"), "phrase"))
-    bit = hashed.bitwiseAND(F.lit(BITS - 1)) + 1  # bitmap functions count from 1
-    rows = frequent.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("at"))
+
+    def hashed(batches):
+        for batch in batches:
+            keys = _language_keys(batch.column(0).to_pylist())
+            for words in words_of(batch.column(1)):
+                ends = _row_ends(words)
+                heads = np.flatnonzero(np.concatenate(([True], words.row[1:] != words.row[:-1])))
+                found = _phrase_hashes(words, ends, LONGEST)[0][heads]
+                yield pa.RecordBatch.from_arrays([pa.array((_mixed(found ^ keys[words.row[heads]]) % np.uint64(BITS)).astype(np.int64) + 1)], ["bit"])  # bitmaps count from 1
+
+    rows = frequent.select("language", "phrase").mapInArrow(hashed, "bit bigint")
+    rows = rows.select(F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
     bits = np.zeros(BITS // 8, np.uint8)
     for r in rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():  # at most BITS bits in all
         part = np.frombuffer(r["bits"], np.uint8)
-        start = (r["bucket"] - 1) * len(part)
-        bits[start : start + len(part)] |= part[: max(0, len(bits) - start)]
+        bits[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
     return bits
 
 
+def _passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (hashes % np.uint64(BITS)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _count(dictionary: DataFrame, sizes: tuple[int, ...], filters: list) -> DataFrame:
     """language, phrase, words, f: phrases of ``sizes`` words, each occurrence counted in the chunk that owns its first word.
 
@@ -108,69 +229,41 @@ def _count(dictionary: DataFrame, sizes: tuple[int, ...], filters: list) -> Data
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                names = part.column(0).to_pylist()
-                for language in set(names):
-                    own = part.filter(pa.array([n == language for n in names]))
-                    yield from _ngrams(language, own, sizes, [f.value for f in filters])
-
-    counted = dictionary.mapInArrow(run, "language string, phrase string, words int, f bigint")
+            coded = batch.column("language").dictionary_encode()
+            names, codes = coded.dictionary, coded.indices.to_numpy()
+            keys = _language_keys(names.to_pylist())[codes] if batch.num_rows else np.empty(0, np.uint64)
+            last, n = batch.column("last").to_numpy(zero_copy_only=False), batch.column("n").to_numpy()
+            for words in words_of(batch.column("chunk")):
+                for size, first, f in _ngrams(words, keys, last, n, sizes, [b.value for b in filters]):
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(codes[words.row[first]])), words.texts(first, first + size - 1), pa.array(np.full(len(first), size, np.int32)), pa.array(f)],
+                        ["language", "phrase", "words", "f"])
+
+    counted = dictionary.select("language", "last", "chunk", "n").mapInArrow(run, "language string, phrase string, words int, f bigint")
     return counted.groupBy("language", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
-def _passes(language: str, phrases: list[str], bits: np.ndarray) -> np.ndarray:
-    at = np.fromiter((_bit(language, p) for p in phrases), np.int64, len(phrases))
-    return (bits[at >> 3] >> (at & 7)) & 1 == 1
-
-
-def _ngrams(language: str, chunks: pa.RecordBatch, sizes, filters):
-    """Weighted counts of the phrases in distinct chunks of one language, a batch for each size."""
-    words = [c.split(" ") for c in chunks.column(2).to_pylist()]
-    lengths = np.array([len(w) for w in words], np.int64)
-    flat = [w for c in words for w in c]
-    local: dict[str, int] = {}
-    codes = np.fromiter((local.setdefault(w, len(local)) for w in flat), np.int64, len(flat))
-    vocabulary = list(local)
-    ends = np.repeat(np.cumsum(lengths), lengths)  # where the chunk of a position ends
-    owned = np.where(np.repeat(chunks.column(1).to_numpy(zero_copy_only=False), lengths), ends, ends - (LONGEST - 1))
-    weight = np.repeat(chunks.column(3).to_numpy(), lengths)
-    place = np.arange(len(codes))
-    usable = [_passes(language, vocabulary, filters[0])[codes] if filters else np.ones(len(codes), bool)]
-    # the number of a phrase: those of one word less are numbered, then paired with the next word
-    number, known = codes, [[v] for v in vocabulary]
-    base = np.int64(len(vocabulary))
-    good = usable[0]
+def _ngrams(words: Words, keys: np.ndarray, last: np.ndarray, n: np.ndarray, sizes: tuple[int, ...], filters: list[np.ndarray]):
+    """(size, first, f): the distinct phrases in a window of chunks, by their first word, and their weighted counts."""
+    place, ends = np.arange(len(words.row)), _row_ends(words)
+    owned = place < np.where(last[words.row], ends, ends - OVERLAP)
+    key = keys[words.row]
+    good = np.ones(len(place), bool)
     for size in range(1, max(sizes) + 1):
-        if size > 1:
-            inside = np.zeros(len(codes), bool)
-            inside[: len(codes) - size + 1] = place[: len(codes) - size + 1] + size <= ends[: len(codes) - size + 1]
-            follow = np.zeros(len(codes), bool)
-            follow[: len(codes) - 1] = good[1:]
-            good = good & follow & inside
-            here = np.flatnonzero(good)
-            joined = number[here] * base + codes[here + size - 1]
-            distinct, inverse = np.unique(joined, return_inverse=True)
-            known = [known[d // base] + [vocabulary[d % base]] for d in distinct.tolist()]
-            number = np.full(len(codes), -1, np.int64)
-            number[here] = inverse
-            if size == 2 and len(filters) > 1:
-                fine = _passes(language, [" ".join(k) for k in known], filters[1])
-                good[here] = fine[inverse]
+        hashes = [_mixed(h ^ key) for h in _phrase_hashes(words, ends, size)]
+        if size > 1:  # both parts of one word less pass
+            good = good & np.concatenate((good[1:], [False]))[: len(place)] & (place + size <= ends)
+        if len(filters) >= size:
+            good &= _passes(hashes[0], filters[size - 1])
         if size in sizes:
-            mine = np.flatnonzero(good & (place < owned))
-            order = np.argsort(number[mine], kind="stable")
-            sorted_numbers = number[mine][order]
-            first = np.flatnonzero(np.diff(sorted_numbers, prepend=-1))
-            f = np.add.reduceat(weight[mine][order], first) if len(first) else np.empty(0, np.int64)
-            phrases = [" ".join(known[i]) for i in sorted_numbers[first].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(repeat(language, len(phrases))), pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(f, pa.int64())],
-                ["language", "phrase", "words", "f"])
+            mine = np.flatnonzero(good & owned)
+            order, first = _grouped([h[mine] for h in hashes])
+            weight = n[words.row[mine]][order]
+            yield size, mine[order[first]], np.add.reduceat(weight, first) if len(first) else weight
 
 
-def _part(phrase: Column, start: Column, count: Column) -> Column:
-    return F.array_join(F.slice(phrase, start, count), " ")
+def _part(words: Column, start: Column, count: Column) -> Column:
+    return F.array_join(F.slice(words, start, count), " ")
 
 
 def mine_phrases(
