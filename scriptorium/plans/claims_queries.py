@@ -308,6 +308,25 @@ def retry_overlap(spark, d):
     return J.retry_overlap(clips, seg).select("doc_id", "clip", "seg_idx")
 
 
+@query(
+    "retry_selection",
+    with_(
+        B.SEG,
+        """c AS (SELECT doc_id, seg_idx AS clip, greatest(0.0::DOUBLE, "start" - 3) AS cs, "end" - 2 AS ce FROM seg),
+wd AS (SELECT doc_id, seg_idx, i, w[i] AS text, round("start" + (i - 1) * (("end" - "start") / len(w)), 3) AS ws, round("start" + i * (("end" - "start") / len(w)), 3) AS we
+  FROM (SELECT doc_id, seg_idx, "start", "end", w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM seg))),
+s AS (SELECT c.doc_id, c.clip, list(seg_idx ORDER BY seg_idx) AS seg_ids FROM c JOIN seg s ON s.doc_id = c.doc_id AND s."end" >= cs - 0.5::DOUBLE AND s."start" <= ce + 0.5::DOUBLE GROUP BY ALL),
+w AS (SELECT c.doc_id, c.clip, count(*) AS n_words, trim(string_agg(text, ' ' ORDER BY seg_idx, i)) AS text FROM c JOIN wd ON wd.doc_id = c.doc_id AND we >= cs - 0.5::DOUBLE AND ws <= ce + 0.5::DOUBLE GROUP BY ALL)""",
+    )
+    + """SELECT c.doc_id, c.clip, coalesce(seg_ids, []) AS seg_ids, coalesce(n_words, 0) AS n_words, coalesce(w.text, '') AS text FROM c LEFT JOIN s USING (doc_id, clip) LEFT JOIN w USING (doc_id, clip)""",
+)
+def retry_selection(spark, d):
+    seg = B.segments(spark, d)
+    clips = seg.select("doc_id", F.col("seg_idx").alias("clip"), F.greatest(F.lit(0.0), F.col("start") - 3).alias("clip_start"), (F.col("end") - 2).alias("clip_end"))
+    known = seg.select("doc_id", "seg_idx", "start", "end", "text", B.words_of(F.col("text"), F.col("start"), F.col("end")).alias("words"))
+    return J.retry_selection(clips, known).select("doc_id", "clip", "seg_ids", F.size("words").cast("bigint").alias("n_words"), "text")
+
+
 @query(
     "word_at_time",
     with_(

@@ -3,6 +3,7 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -143,19 +144,57 @@ def test_trusted_names_are_masked(spark):
     assert [r["term"] for r in row["recognised"]] == ["ARS", "Juge des tutelles", "élu", "juge"]
 
 
-def test_intervals_and_nearest_match_brute_force(spark):
-    rng = random.Random(4)
-    segs = [(1, i, round(rng.random() * 300, 1)) for i in range(1, 60)]
-    segs = [(d, i, s, s + round(rng.random() * 4, 1)) for d, i, s in segs]
-    pairs = [(1, f"p{k}", s, s + 1.5) for k, s in enumerate(round(rng.random() * 400, 1) for _ in range(40))]
-    s = spark.createDataFrame(segs, "doc_id long, seg_idx long, start double, end double")
-    p = spark.createDataFrame(pairs, "doc_id long, block_id string, start double, end double")
-    got = sorted((r["block_id"], r["seg_idx"]) for r in J.pair_segments(p, s, width=7.0).collect())
+YEAR = 366 * 86_400.0
+
+
+def brute_sources(pairs, segs):
     want = []
-    for _, b, ps, pe in pairs:
-        hits = [i for _, i, x, y in segs if y > ps and x < pe]
-        want += [(b, i) for i in hits or [min(segs, key=lambda r: (abs(r[2] - ps), r[1]))[1]]]
-    assert got == sorted(want)
+    for d, b, ps, pe in pairs:
+        own = [r for r in segs if r[0] == d]
+        hits = [i for _, i, x, y in own if y > ps and x < pe]
+        near = sorted((abs(r[2] - ps), r[1]) for r in own)[:1]
+        want += [(d, b, i) for i in hits or [i for _, i in near]]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("width", [7.0, 60.0])
+def test_intervals_and_nearest_match_brute_force(spark, width):
+    """A hot document, a span of a year, wrong ends, equal starts, gaps of hours, documents without segments."""
+    rng = random.Random(4)
+    segs, pairs = [], []
+    for d, n in ((1, 400), (2, 30), (3, 1), (4, 0), (5, 60)):
+        times = [round(rng.random() * n * 5, 1) + (9000 if d == 5 and i % 2 else 0) for i in range(n)]
+        times = [times[i - 1] if i % 9 == 8 else t for i, t in enumerate(times)]
+        segs += [(d, i, t, t + round(rng.random() * 4, 1)) for i, t in enumerate(times, 1)]
+        pairs += [(d, f"p{k}", s, s + rng.choice([0.0, 1.5, 300.0])) for k, s in enumerate(round(rng.random() * n * 6 - 20, 1) for _ in range(max(n // 2, 4)))]
+    segs += [(1, 900, 10.0, 10.0 + YEAR), (1, 901, 50.0, 20.0), (2, 902, 5.0, 1e300), (5, 903, -YEAR, -YEAR + 1)]
+    pairs += [(1, "year", 100.0, YEAR), (2, "late", 9 * YEAR, 9 * YEAR + 1), (3, "early", -9 * YEAR, -9 * YEAR + 1), (1, "inverted", 30.0, 12.0), (1, "tie", 5000.0, 5000.0)]
+    s = spark.createDataFrame(segs, "doc_id long, seg_idx long, start double, end double").repartition(3)
+    p = spark.createDataFrame(pairs, "doc_id long, block_id string, start double, end double").repartition(3)
+    assert sorted(map(tuple, J.pair_segments(p, s, width=width).collect())) == brute_sources(pairs, segs)
+    nulls = spark.createDataFrame([(1, "x", None, 5.0), (1, "y", None, None)], p.schema)
+    assert J.pair_segments(nulls, s).count() == 0 and J.pair_segments(p.limit(0), s).count() == 0 and J.pair_segments(p, s.limit(0)).count() == 0
+    closed = J.interval_join(
+        p.toDF("doc_id", "block_id", "ps", "pe"), s, ["doc_id"], ("ps", "pe"), ("start", "end"), tol=0.5, closed=True, width=width)
+    want = sorted((d, b, i) for d, b, ps, pe in pairs for e, i, x, y in segs if d == e and y >= ps - 0.5 and x <= pe + 0.5)
+    assert sorted((r["doc_id"], r["block_id"], r["seg_idx"]) for r in closed.collect()) == want
+
+
+def test_clips_take_the_words_inside_them(spark):
+    words = lambda *w: [(a, b, t, None) for a, b, t in w]
+    segs = [
+        (1, 1, 0.0, 4.0, "le juge vient", words((0.0, 1.0, " le"), (1.2, 2.0, "juge"), (3.0, 4.0, "vient "))),
+        (1, 2, 5.0, 9.0, "puis il part", words((5.0, 6.0, "puis"), (6.0, 7.0, "il"), (8.0, 9.0, "part"))),
+        (2, 1, 0.0, 4.0, " sans mots ", None), (2, 2, 4.2, 6.0, "ni fin", []), (3, 1, 0.0, 1.0, None, None),
+    ]
+    s = spark.createDataFrame(segs, "doc_id long, seg_idx long, start double, end double, text string, words array<struct<start:double,end:double,text:string,confidence:double>>")
+    clips = [(1, "a", 2.5, 5.4), (1, "b", 20.0, 30.0), (2, "a", 1.0, 3.9), (2, "b", 4.9, 5.0), (3, "a", 0.0, 1.0), (4, "a", 0.0, 1.0)]
+    c = spark.createDataFrame(clips, "doc_id long, clip string, clip_start double, clip_end double")
+    got = {(r["doc_id"], r["clip"]): (r["seg_ids"], [w["text"] for w in r["words"]], r["text"]) for r in J.retry_selection(c, s).collect()}
+    assert got == {
+        (1, "a"): ([1, 2], ["juge", "vient ", "puis"], "juge vient puis"), (1, "b"): ([], [], ""), (2, "a"): ([1, 2], [], "sans mots ni fin"),
+        (2, "b"): ([2], [], "ni fin"), (3, "a"): ([1], [], ""), (4, "a"): ([], [], ""),
+    }
 
 
 def test_retimed_words_keep_their_times(spark):
