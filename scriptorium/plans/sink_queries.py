@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import functions as F
 
 from ..operators import findings as N, joins as J, library as Y
 from ..operators.claims import verdict_entities
+from ..session import shared_dir
 from ..sinks import render as R, write as X
 from ..sources import bindings as B
 from . import sqlkit as S
@@ -283,3 +285,28 @@ def publish(spark, d):
         .unionByName(one("entities", "path")).unionByName(one("index", "line")).unionByName(one("glossary", "term"))
         .unionByName(one("courses", "doc_id", "seq", held)).unionByName(one("jobs", "doc_id", "path"))
     )
+
+
+@query(
+    "publication_runs",
+    with_(B.SEG, B.JOBS, COURSE, """ready AS (SELECT * FROM jobs WHERE status IN ('done', 'checked', 'published')),
+runs AS (
+  SELECT 'courses' AS part, doc_id || '/' || seq || '/' || md5(CASE WHEN seq = 0 AND doc_id % 3 = 0 THEN '# ' || upper(substr(content, 3)) ELSE content END) AS item FROM course JOIN ready USING (doc_id)
+  UNION ALL SELECT 'cards', seg.doc_id || '/' || seg_idx || '/' || md5(text) FROM seg JOIN ready USING (doc_id) WHERE seg.doc_id % 3 <> 0
+  UNION ALL SELECT 'index', filename || '/' || (doc_id % 3 = 0) FROM ready
+  UNION ALL SELECT 'jobs', doc_id || '/' || CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END FROM ready)""")
+    + "SELECT part, item FROM runs",
+)
+def publication_runs(spark, d):
+    """All finished documents in one run, every third one once more with another title and no cards; what readers then see."""
+    root = f"{shared_dir(spark).rstrip('/')}/publication-{uuid.uuid4().hex}"
+    jobs = B.jobs(spark, d).filter(F.col("status").isin("done", "checked", "published"))
+    cards = B.segments(spark, d).select("doc_id", F.col("seg_idx").alias("seq"), F.col("text").alias("content"))
+    for number, own in ((1, jobs), (2, jobs.filter("doc_id % 3 = 0").withColumn("title", F.upper(F.coalesce("title", "filename"))))):
+        parts = {
+            "courses": X.export_courses(own, editorial(spark, d)), "cards": cards.join(own.select("doc_id"), "doc_id", "left_semi") if number == 1 else cards.limit(0),
+            "index": own.select("filename", (F.lit(number) == 2).alias("again")), "jobs": own.select("doc_id", F.lit(number).alias("run_number")),
+        }
+        X.write_publication(parts, root)
+    one = lambda name, *c: X.read_publication(spark, root, name).select(F.lit(name).alias("part"), F.concat_ws("/", *[F.col(x).cast("string") if x != "content" else F.md5(x) for x in c]).alias("item"))
+    return one("courses", "doc_id", "seq", "content").unionByName(one("cards", "doc_id", "seq", "content")).unionByName(one("index", "filename", "again")).unionByName(one("jobs", "doc_id", "run_number"))

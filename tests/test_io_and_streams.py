@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.session import shared_dir
@@ -78,14 +79,66 @@ def test_course_export_of_some_documents_keeps_the_others(spark, tmp_path):
     assert sorted(r["content"].strip() for r in got.collect()) == ["corps 1", "corps 65"]
 
 
-def test_second_publication_keeps_the_first(spark, tmp_path):
+def parts_of(spark, docs, *, note="note", cards=True, lines=None, terms=(), stubs=()):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    made = {
+        "notes": frame([(d, n, f"{note} {d}.{n}") for d in docs for n in range(d)], "doc_id long, seq long, content string"),
+        "flashcards": frame([(d, 0, f"cards {d}") for d in docs if cards], "doc_id long, seq long, content string"),
+        "index": frame([(f"n{d}", lines or f"line {d}") for d in docs], "link string, line string"),
+        "glossary": frame([(t, "x") for t in terms], "term string, content string"),
+        "entities": frame(list(stubs), "path string, content string"),
+        "jobs": frame([(d, "published") for d in docs], "doc_id long, status string"),
+    }
+    return made
+
+
+def published(spark, root, name, column="content"):
+    return sorted(r[column] for r in X.read_publication(spark, root, name).collect())
+
+
+def test_partial_runs_follow_each_other(spark, tmp_path):
     root = str(tmp_path / "pub")
-    for d in (1, 2, 1):
-        notes = spark.createDataFrame([(d, 0, f"note {d}")], "doc_id long, seq long, content string")
-        jobs = spark.createDataFrame([(d, "published")], "doc_id long, status string")
-        X.write_publication({"notes": notes, "index": spark.createDataFrame([(f"n{d}", "line")], "link string, line string"), "jobs": jobs}, root)
-    assert sorted(r["content"] for r in spark.read.parquet(f"{root}/notes").collect()) == ["note 1", "note 2"]
-    assert spark.read.parquet(f"{root}/jobs").count() == 2 and spark.read.parquet(f"{root}/index").count() == 2
+    assert X.read_publication(spark, root, "notes") is None and X.read_manifest(spark, root) is None
+    X.write_publication(parts_of(spark, [1, 2], terms=["a", "b"], stubs=[("e.md", "first"), ("f.md", "first")]), root)
+    X.write_publication(parts_of(spark, [3], terms=["c"], stubs=[("e.md", "second"), ("g.md", "second")]), root)
+    assert published(spark, root, "notes") == ["note 1.0", "note 2.0", "note 2.1", "note 3.0", "note 3.1", "note 3.2"]
+    assert published(spark, root, "jobs", "doc_id") == [1, 2, 3] and published(spark, root, "index", "line") == ["line 1", "line 2", "line 3"]
+    assert published(spark, root, "glossary", "term") == ["c"]
+    assert sorted(map(tuple, X.read_publication(spark, root, "entities").collect())) == [("e.md", "first"), ("f.md", "first"), ("g.md", "second")]
+    X.write_publication(parts_of(spark, [2], note="new", cards=False, lines="again"), root)  # without cards: the old ones go
+    assert published(spark, root, "notes") == ["new 2.0", "new 2.1", "note 1.0", "note 3.0", "note 3.1", "note 3.2"]
+    assert published(spark, root, "flashcards") == ["cards 1", "cards 3"] and published(spark, root, "index", "line") == ["again", "line 1", "line 3"]
+    before = {n: published(spark, root, n, c) for n, c in (("notes", "content"), ("flashcards", "content"), ("entities", "path"), ("jobs", "doc_id"))}
+    X.compact_publication(spark, root)
+    assert X.read_manifest(spark, root).count() == 1
+    assert {n: published(spark, root, n, c) for n, c in (("notes", "content"), ("flashcards", "content"), ("entities", "path"), ("jobs", "doc_id"))} == before
+    X.write_publication(parts_of(spark, [1], note="last"), root)
+    assert published(spark, root, "notes")[0] == "last 1.0" and len(published(spark, root, "notes")) == 6
+
+
+def test_a_failed_run_is_not_seen(spark, tmp_path):
+    root = str(tmp_path / "failed")
+    X.write_publication(parts_of(spark, [1, 2]), root)
+    broken = parts_of(spark, [1, 4], note="half")
+    broken["index"] = broken["index"].withColumn("line", F.raise_error(F.lit("disk full")).cast("string"))
+    with pytest.raises(Exception, match="disk full"):
+        X.write_publication(broken, root, run="r2")
+    assert published(spark, root, "notes") == ["note 1.0", "note 2.0", "note 2.1"] and published(spark, root, "jobs", "doc_id") == [1, 2]
+    X.write_publication(parts_of(spark, [1, 4], note="whole"), root, run="r2")  # the same run again
+    assert published(spark, root, "notes") == ["note 2.0", "note 2.1", "whole 1.0", *[f"whole 4.{n}" for n in range(4)]]
+    assert X.lost_rows(spark, root).count() == 0
+
+
+def test_a_lost_part_is_told(spark, tmp_path):
+    root = str(tmp_path / "lost")
+    X.write_publication(parts_of(spark, [1, 2]), root)
+    fields = spark.createDataFrame([], "doc_id long, seq long, content string").schema.json()
+    row = [("r9", 2, False, [("notes", 5, fields), ("briefs", 2, fields)])]
+    spark.createDataFrame(row, X.MANIFEST).write.mode("append").parquet(f"{root}/manifest")
+    assert sorted(map(tuple, X.lost_rows(spark, root).select("name", "rows", "found").collect())) == [("briefs", 2, 0), ("notes", 5, 0)]
+    with pytest.raises(FileNotFoundError):
+        X.read_publication(spark, root, "briefs")
+    assert published(spark, root, "notes") == ["note 1.0", "note 2.0", "note 2.1"]
 
 
 def test_json_holds_every_part(spark):
