@@ -1,17 +1,56 @@
 """Alignment, tolerant edits and lexicon joins against brute force."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from scriptorium.functions import align as A
 from scriptorium.functions.align import _align, _spans, locate
 from scriptorium.functions.edits import _annotate, insert_links, place_headings
 from scriptorium.functions import text as T
 from scriptorium.operators import claims as C, edits as E, joins as J, lexicon as L, sequence as Q
 
+
+def library_runs(x, y):
+    return [(m.a, m.b, m.size) for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
+
+
+@pytest.mark.parametrize("small", [0, 30, A.SMALL])
+def test_runs_equal_those_of_the_library(monkeypatch, small):
+    monkeypatch.setattr(A, "SMALL", small)
+    for seed in range(300):
+        rng = random.Random(seed)
+        items = rng.choice([1, 2, 3, 10, 100])
+        x = [rng.randint(0, items) for _ in range(rng.randint(0, 120))]
+        y = [rng.randint(0, items) for _ in range(rng.randint(0, 120))] if seed % 3 == 0 else list(x)
+        for _ in range(rng.randint(0, 20)):
+            i = rng.randint(0, len(y))
+            y[i : i + rng.randint(0, 4)] = [rng.randint(0, items) for _ in range(rng.randint(0, 4))]
+        assert A.matching_runs(x, y) == library_runs(x, y)
+        assert A.edit_steps(x, y) == SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+        assert A.likeness(x, y) == SequenceMatcher(None, x, y, autojunk=False).ratio()
+
+
+def test_long_and_repeated_texts_are_aligned_in_time():
+    """A hundred thousand words a side with thousands of changes, and a loop of one word: hours by search of all pairs."""
+    rng = random.Random(1)
+    x = [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(100_000)]
+    y = list(x)
+    for _ in range(5000):
+        i = rng.randint(0, len(y))
+        y[i : i + rng.randint(0, 3)] = [rng.choice(x) for _ in range(rng.randint(0, 3))]
+    start = time.process_time()
+    steps = A.edit_steps(x, y)
+    assert A.edit_steps(["spam"] * 100_000, ["spam"] * 60_000 + ["x"] + ["spam"] * 20_000)[0] == ("equal", 0, 60_000, 0, 60_000)
+    assert time.process_time() - start < 30
+    made = [w for tag, i1, i2, j1, j2 in steps for w in (x[i1:i2] if tag == "equal" else y[j1:j2])]
+    assert made == y and sum(i2 - i1 for tag, i1, i2, _, _ in steps if tag == "equal") > 85_000
+
+
 words = st.lists(st.sampled_from(["le", "juge", "dit", "non", "12", "oui"]), max_size=12).map(" ".join)
 
 
