@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, shared_dir
 
 
 def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -92,22 +93,29 @@ def components(links: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     Each round hangs the larger neighbours of a node under the smallest node around it,
     then every node and its smaller neighbours under the smallest of those, until nothing
     changes; a path of n nodes takes about log n rounds. A node's links are combined before
-    they are shuffled, and every round is checkpointed.
+    they are shuffled. Every round is written to the shared folder, over the round before
+    the last, so that two rounds are kept at a time.
     """
+    spark = links.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/components-{uuid.uuid4().hex}"
+
+    def written(edges, turn):
+        edges.write.mode("overwrite").parquet(f"{folder}/{turn % 2}")
+        return spark.read.schema(edges.schema).parquet(f"{folder}/{turn % 2}")
 
     def state(edges):
         return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), 0)
     now = state(edges)
-    for _ in range(max_rounds):
+    for turn in range(1, max_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         around = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         large = edges.join(around, "v").select("u", F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(below.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.filter("u <> v").distinct())
+        edges = written(small.filter("u <> v").distinct(), turn)
         before, now = now, state(edges)
         if before == now:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
@@ -192,17 +200,18 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(text: Column, words: int, bands: int, rows: int) -> Column:
-    """Struct of code, which texts with equal shingles share, and keys of the bands."""
+    """Struct of code, which texts with equal shingles share, size (shingles) and keys of the bands."""
 
-    @F.arrow_udf("struct<code:bigint,keys:array<bigint>>")
+    @F.arrow_udf("struct<code:bigint,size:int,keys:array<bigint>>")
     def of(texts: pa.Array) -> pa.Array:
-        codes, keys = np.empty(len(texts), np.uint64), np.empty((len(texts), bands), np.uint64)
+        codes, keys, sizes = np.empty(len(texts), np.uint64), np.empty((len(texts), bands), np.uint64), np.empty(len(texts), np.int32)
         for at in range(0, len(texts), 256):
             for i, t in enumerate(texts.slice(at, 256).cast(pa.binary()).to_pylist(), at):
                 found = shingles(t or b"", words)
-                codes[i], keys[i] = xxhash.xxh64_intdigest(found.tobytes(), 42), band_keys(found, bands, rows)
+                codes[i], keys[i], sizes[i] = xxhash.xxh64_intdigest(found.tobytes(), 42), band_keys(found, bands, rows), len(found)
         offsets = pa.array(np.arange(0, bands * len(texts) + 1, bands), pa.int32())
-        return pa.StructArray.from_arrays([pa.array(codes.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).reshape(-1)))], ["code", "keys"])
+        lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).reshape(-1)))
+        return pa.StructArray.from_arrays([pa.array(codes.view(np.int64)), pa.array(sizes), lists], ["code", "size", "keys"])
 
     return of.asNondeterministic()(text)
 
@@ -229,9 +238,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.filter((both == 0) | (common >= least * (both - common) - 1e-9)).select("a", "b")
 
 
+def _alike(a, b, least: float):
+    """Whether two sets of a and b shingles can have Jaccard similarity ``least`` at all."""
+    return F.least(a, b) >= least * F.greatest(a, b) - 1e-9
+
+
+def joining_links(codes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], firsts: int, least: float) -> list[tuple[int, int]]:
+    """Links between the first ``firsts`` sets and all, of similarity ``least`` or more, that join different labels.
+
+    Sets of the same label are joined already. Each link joins two labels into one, so there
+    are fewer links than labels; whatever the left-out pairs would link is joined.
+    """
+    sizes = np.array([len(s) for s in sets])
+    flat, ends = np.concatenate(sets) if len(sets) else np.empty(0, np.int64), np.cumsum(sizes)
+    number = np.unique(flat, return_inverse=True)[1]
+    labels, links = labels.copy(), []
+    mark = np.zeros(len(flat) + 1, bool)
+    for x in range(firsts):
+        other = labels != labels[x]
+        if not other.any():
+            continue
+        own = number[ends[x] - sizes[x] : ends[x]]
+        mark[own] = True
+        counted = np.concatenate(([0], np.cumsum(mark[number])))
+        mark[own] = False
+        common = counted[ends] - counted[ends - sizes]
+        for y in np.flatnonzero(other & (common >= least * (sizes + sizes[x] - common) - 1e-9)).tolist():
+            if labels[y] != labels[x]:
+                links.append((int(min(codes[x], codes[y])), int(max(codes[x], codes[y]))))
+                labels[labels == labels[y]] = labels[x]
+    return links
+
+
+def _grid(members: DataFrame, sets: DataFrame, least: float, block: int) -> DataFrame:
+    """Links (a, b) that join the different roots within each bucket; ``members``: key, code, root, size.
+
+    The members outside a bucket's largest root are compared with all others. Both sides are
+    dealt into blocks of about ``block`` members, or of ``block`` x 4,096 shingles if that is
+    fewer, and every two blocks meet in a task of their own.
+    """
+    counts = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("bigint")).alias("weight"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / block), F.ceil(weight / (block * 4096))).cast("int")
+    left_n, left_weight = F.col("n") - F.col("top.n"), F.col("weight") * (F.col("n") - F.col("top.n")) / F.col("n")
+    tops = tops.select("key", F.col("top.root").alias("top"), blocks(F.col("n"), F.col("weight")).alias("js"), F.greatest(blocks(left_n, left_weight), F.lit(1)).alias("is"))
+    deal = lambda count: F.pmod(F.xxhash64("code"), F.col(count)).cast("int")
+    cell = lambda i, j, rest: F.struct(i.alias("i"), j.alias("j"), F.lit(rest).alias("rest"))
+    numbers = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
+    as_any = F.transform(numbers("is"), lambda i: cell(i, deal("js"), False))
+    as_rest = F.transform(numbers("js"), lambda j: cell(deal("is"), j, True))
+    cells = F.when(F.col("root") == F.col("top"), as_any).otherwise(F.concat(as_any, as_rest))
+    dealt = members.join(tops, "key").join(sets, "code").select("key", F.explode(cells).alias("cell"), "code", "root", "set")
+
+    def meet(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("rest", "descending")])
+        codes, roots = block.column("code").to_numpy(), block.column("root").to_numpy()
+        sets = [s.values.to_numpy() for s in block.column("set")]
+        links = joining_links(codes, roots, sets, int(block.column("rest").to_numpy().sum()), least)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return dealt.select("key", "cell.*", "code", "root", "set").groupBy("key", "i", "j").applyInArrow(meet, "a bigint, b bigint")
+
+
 def similar_groups(
     jobs: DataFrame, *, doc_id: str = "doc_id", text: str = "raw_text", words: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4, bucket: int = 32,
-    max_splits: int = 2,
+    block: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
     """As ``copy_groups``, linked by Jaccard similarity of word shingles, ``least`` or more.
 
@@ -240,68 +311,52 @@ def similar_groups(
     no useful blocks survive. Of pairs at 0.8 one in 4,500 shares none of 16 bands of 4.
 
     In a bucket of more than ``bucket`` texts each is compared to the smallest first. Where
-    that joins all, other links would join nothing more. The few that it leaves out are
-    compared to every member; if they are many, the bucket is split by the bands again, and
-    after ``max_splits`` splits compared as it is. Nothing is capped.
+    that joins all, other links would join nothing more. Otherwise the texts that it leaves
+    out are compared with all of the bucket, in a grid of blocks of about ``block`` texts,
+    and each block returns only links that join something. One band goes first, then three,
+    then the rest, as what one band has joined the others need not compare. Nothing is capped.
+
+    Null texts count as empty; texts without words are copies of each other. Repeated rows and
+    rows equal in id and text are one member of a group; rows without id come last in the
+    choice of a group's first. Empty tables give empty results; other columns are not read.
     """
     s = _sketch(F.col(text), words, bands, rows).alias("s")
     ids = jobs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), s)
-    ids = checkpointed(ids.select("doc_id", "digest", "s.code", "s.keys"))
+    ids = checkpointed(ids.select("doc_id", "digest", "s.*"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    codes = checkpointed(ids.groupBy("code").agg(F.min(first).alias("first"), F.first("keys").alias("keys")))
-    hot = codes.select("code", F.explode("keys").alias("key")).select("code", "key", F.array("key").alias("path"))
-    sets = links = roots = None
-    for split in range(max_splits + 1):
-        heads = hot.groupBy("key").agg(F.min("code").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        met = checkpointed(hot.join(heads, "key"))  # few: most buckets hold one
-        few, many = met.filter(F.col("n") <= bucket), met.filter(F.col("n") > bucket)
-        pairs = few.select("key", F.col("code").alias("a")).join(few.select("key", F.col("code").alias("b")), "key").filter("a < b").select("a", "b")
-        stars = many.filter("head < code").select(F.col("head").alias("a"), F.col("code").alias("b"))
-        pairs = checkpointed(pairs.unionByName(stars).distinct())
-        if sets is None:  # later splits meet no other texts
-            sets = _sets(jobs, codes, pairs, doc_id, text, words)
-        links = _and(links, _verified(pairs, sets, least))
-        roots = components(links)
-        if many.isEmpty():
-            break
-        rooted = many.join(roots, many.code == roots.node, "left").select("key", "code", "head", "path", F.coalesce("root", "code").alias("root"))
-        tops = rooted.filter("code = head").select("key", F.col("root").alias("top"))
-        rooted = checkpointed(rooted.join(tops, "key").withColumn("rest", F.col("root") != F.col("top")))
-        left = rooted.groupBy("key").agg(F.sum(F.col("rest").cast("int")).alias("left")).filter("left > 0")
-        rooted = checkpointed(rooted.join(left, "key"))
-        if rooted.isEmpty():
-            break
-        whole = rooted if split == max_splits else rooted.filter(F.col("left") <= bucket)
-        rest = whole.filter("rest").select("key", F.col("code").alias("c"), F.col("root").alias("r"))
-        across = rest.join(whole, "key").filter("r <> root").select(F.least("c", "code").alias("a"), F.greatest("c", "code").alias("b"))
-        found = checkpointed(_verified(across.distinct(), sets, least))
-        if not found.isEmpty():
-            links = _and(links, found)
+    codes = checkpointed(ids.groupBy("code").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    keyed = codes.select("code", "size", F.posexplode("keys").alias("band", "key"))
+    one = F.struct("code", "size")
+    heads = keyed.groupBy("band", "key").agg(F.min(one).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = checkpointed(keyed.join(heads, ["band", "key"]))  # few: most buckets hold one
+    few, many = met.filter(F.col("n") <= bucket), met.filter(F.col("n") > bucket)
+    sides = [few.select("band", "key", F.col("code").alias(c), F.col("size").alias(n)) for c, n in (("a", "m"), ("b", "n"))]
+    pairs = sides[0].join(sides[1], ["band", "key"]).filter((F.col("a") < F.col("b")) & _alike(F.col("m"), F.col("n"), least)).select("a", "b")
+    stars = many.filter((F.col("head.code") < F.col("code")) & _alike(F.col("head.size"), F.col("size"), least))
+    pairs = checkpointed(pairs.unionByName(stars.select(F.col("head.code").alias("a"), F.col("code").alias("b"))).distinct())
+    wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).unionByName(many.select("code")).distinct()
+    sets = _sets(jobs, codes, wanted, doc_id, text, words)
+    links = checkpointed(_verified(pairs, sets, least))
+    roots = components(links)
+    for part in ((0, 0), (1, 3), (4, bands)):
+        named = many.filter(F.col("band").between(*part)).select(F.xxhash64("band", "key").alias("key"), "code", "size")
+        named = named.join(roots, named.code == roots.node, "left").select("key", "code", "size", F.coalesce("root", "code").alias("root"))
+        mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("key")
+        open_ = checkpointed(named.join(mixed, "key", "left_semi"))
+        if not open_.isEmpty():
+            links = checkpointed(links.unionByName(_grid(open_, sets, least, block)).distinct())
             roots = components(links)
-        if split == max_splits:
-            break
-        again = rooted.filter(F.col("left") > bucket).select("code", "path").join(codes.select("code", "keys"), "code")
-        again = again.select("code", "path", F.explode("keys").alias("key")).filter(~F.array_contains("path", F.col("key")))
-        again = again.select("code", F.array_sort(F.array_append("path", F.col("key"))).alias("path"))
-        hot = checkpointed(again.distinct().select("code", F.xxhash64("path").alias("key"), "path"))
-        if hot.isEmpty():
-            break
     rooted = codes.join(roots, codes.code == roots.node, "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return ids.drop("keys"), rooted.drop("first").join(named, "root")
-
-
-def _and(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    return checkpointed(new if links is None else links.unionByName(new).distinct())
+    return ids.drop("keys", "size"), rooted.drop("first").join(named, "root")
 
 
 def _row_key(id_: Column, digest: Column) -> tuple[Column, ...]:
     return id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id"), digest.alias("digest")
 
 
-def _sets(jobs: DataFrame, codes: DataFrame, pairs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(code, set): the shingles of the texts in ``pairs``, from the first row of each code."""
-    wanted = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
+def _sets(jobs: DataFrame, codes: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """(code, set): the shingles of the ``wanted`` texts, from the first row of each code."""
     named = codes.join(wanted, "code", "left_semi").select("code", *_row_key(F.col("first.doc_id"), F.col("first.digest")))
     own = jobs.select(F.col(text).alias("text"), *_row_key(F.col(doc_id), F.xxhash64(F.col(text)))).join(named, ["no_id", "id", "digest"])
     return checkpointed(own.select("code", _shingle_set(F.col("text"), words).alias("set")).dropDuplicates(["code"]))

@@ -70,6 +70,36 @@ def test_near_copies_of_changed_words_go(spark, bucket):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("bucket,block", [(4, 3), (8, 16), (32, 256)])
+def test_a_crowd_of_partly_similar_texts(spark, bucket, block):
+    """Hundreds of texts around one, many under 0.8 to each other: buckets far above ``bucket``, in grids of blocks."""
+    base = prose(5, 120)
+    texts = {i: " ".join(changed(base, 7000 + i, 1 + i % 7)) for i in range(220)}
+    texts |= {1000 + i: " ".join(prose(400 + i, 90)) for i in range(40)} | {2000: None, 2001: "", 2002: " ".join(base)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS).repartition(4)
+    ids, groups = neardup.similar_groups(docs, doc_id="doc_id", text="text", bucket=bucket, block=block)
+    got = {r["doc_id"]: r["first"]["doc_id"] for r in ids.join(groups, "code").select("doc_id", "first").collect()}
+    assert got == brute_groups(texts)
+
+
+def test_joining_links_join_what_all_pairs_would():
+    draw = np.random.default_rng(2)
+    for n in range(60):
+        base = np.unique(draw.integers(-(1 << 62), 1 << 62, 40))
+        sets = [np.unique(np.concatenate((draw.choice(base, draw.integers(30, 41), replace=False), draw.integers(0, 99, draw.integers(0, 6))))) for _ in range(14)] + [np.empty(0, np.int64)]
+        codes, labels = np.arange(15) * 3 - 7, np.where(draw.random(15) < 0.3, 1, np.arange(15) + 50)
+        firsts = int(draw.integers(0, 16))
+        links = neardup.joining_links(codes, labels, sets, firsts, 0.8)
+        def groups(pairs):
+            own = labels.tolist()
+            for i, j in pairs:
+                own = [own[i] if x == own[j] else x for x in own]
+            return [[a == b for b in own] for a in own]
+        alike = [(i, j) for i in range(firsts) for j in range(15) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        at = {c: i for i, c in enumerate(codes.tolist())}
+        assert groups([(at[a], at[b]) for a, b in links]) == groups(alike) and len(links) < 15
+
+
 def test_bands_follow_the_ratios_of_all_texts(spark):
     """Texts of few repeated syllables lie inside the fixed limits but far from the others."""
     good = {i: " ".join(prose(i, 700)) for i in range(150)}
