@@ -68,13 +68,29 @@ class KMeansTree:
         down(self.root, np.arange(len(vectors)))
         return found
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk: the branch whose centre has the largest inner product comes first."""
-        queue, order, number = [(0.0, 0, self.root)], [], 0
-        while queue and len(order) < most:
-            _, _, node = heapq.heappop(queue)
+    def leaf_centres(self) -> dict[int, np.ndarray]:
+        found, rest = {}, [(self.root, None)]
+        while rest:
+            node, centre = rest.pop()
+            if isinstance(node, Node):
+                rest += zip(node.children, node.centres)
+            else:
+                found[node] = centre
+        return found
+
+    def visits(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, rows: int = 0, limit: float = np.inf) -> list[int]:
+        """Leaves of a best-bin-first walk: the branch whose centre has the largest inner product comes first.
+
+        It ends after ``most`` leaves, but not before they hold ``rows`` vectors, as ``sizes``
+        counts them; beyond that it takes leaves whose centre scores ``limit`` or more.
+        """
+        queue, order, number, held = [(0.0, 0, self.root)], [], 0, 0
+        while queue and (len(order) < most or held < rows or limit < np.inf):
+            score, _, node = heapq.heappop(queue)
             if not isinstance(node, Node):
-                order.append(node)
+                if len(order) < most or held < rows or -score >= limit:
+                    order.append(node)
+                    held += sizes.get(node, 0) if sizes else 0
                 continue
             for score, child in zip((node.centres @ query).tolist(), node.children):
                 number += 1
@@ -107,19 +123,20 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
-def usable(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def usable(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", size: int | None = None) -> DataFrame:
     """vec_id and vector of the rows that take part.
 
     Out go null ids and vectors, vectors with null or non-finite components, zero and empty
-    ones, and those whose length is not the most frequent one. Of rows with the same id the
-    smallest vector stays.
+    ones, and those whose length is not ``size``, the most frequent one if none is given. Of
+    rows with the same id the smallest vector stays.
     """
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     good = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.filter(F.col("vec_id").isNotNull() & good)
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    if sizes:
-        rows = rows.filter(F.size("vector") == sizes[0]["size"])
+    if size is None:
+        sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
+        size = sizes[0]["size"] if sizes else 0
+    rows = rows.filter(F.size("vector") == size)
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
@@ -132,13 +149,17 @@ def nearest(
     The tree is fitted on at most ``sample`` rows (those whose ids hash lowest); every row is
     indexed in its leaf. ``calibrate`` of the sampled rows, as queries, are compared with all
     rows, and the number of leaves to visit is widened until their mean recall is at least
-    ``recall``. A query goes only to the leaves it visits; a leaf of more than ``block`` rows
-    or queries is dealt out in blocks, so no task holds a whole hot leaf. A query with fewer
-    candidates gets all; ties go to the smaller id. ``usable`` says which rows take part; an
-    empty table gives no rows.
+    ``recall``. So is a margin: how far below the k-th score a leaf's centre may lie. A query
+    first visits that number of leaves, more if they hold fewer than ``k`` + 1 rows, then
+    those within the margin of the k-th score that it has found, so a query unlike the
+    calibration ones walks on. A leaf of more than ``block`` rows or queries is dealt out in
+    blocks, so no task holds a whole hot leaf. A query has fewer than ``k`` results only if
+    there are fewer candidates; ties go to the smaller id. ``usable`` says which rows take
+    part, queries only with the candidates' length; an empty table gives no rows.
     """
     rows = checkpointed(usable(vectors, vec_id=vec_id, vector=vector))
-    asked = usable(queries, vec_id=vec_id, vector=vector)
+    probe = rows.select(F.size("vector").alias("n")).first()
+    asked = checkpointed(usable(queries, vec_id=vec_id, vector=vector, size=probe["n"] if probe else 0))
     spark, count = rows.sparkSession, rows.count()
     hashed = F.xxhash64("vec_id")
     rare = rows if count <= 2 * sample else rows.filter(F.pmod(hashed, F.lit(1_000_000)) < 2_000_000 * sample // count)
@@ -152,19 +173,38 @@ def nearest(
                 yield b.append_column("leaf", pa.array(tree.leaf_of(_matrix(b.column("vector")))))
 
     indexed = rows.mapInArrow(index, "vec_id bigint, vector array<double>, leaf bigint")
-    visits = _calibrated(indexed, tree, fit_ids[:calibrate], fit[:calibrate], k, recall) if len(fit) else 1
+    held = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row a leaf of the sample's tree
+    visits, margin = _calibrated(indexed, tree, fit_ids[:calibrate], fit[:calibrate], k, recall) if len(fit) else (1, 0.0)
 
     def route(batches):
+        """Leaves of each query; with a k-th score only those beyond the first walk."""
         for b in batches:
-            walks = [tree.visits(q, visits) for q in _matrix(b.column("vector"))]
+            queries = _matrix(b.column("vector"))
+            walks = [tree.visits(q, visits, held, k + 1) for q in queries]
+            if "kth" in b.schema.names:
+                limits = b.column("kth").to_numpy() - margin * np.sqrt((queries * queries).sum(1))
+                walks = [tree.visits(q, visits, held, k + 1, limit)[len(w):] for q, w, limit in zip(queries, walks, limits)]
             at = np.repeat(np.arange(len(walks)), [len(w) for w in walks])
             if len(at):
-                yield b.take(pa.array(at)).append_column("leaf", pa.array(np.concatenate(walks).astype(np.int64)))
+                found = pa.array(np.concatenate(walks).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in ("vec_id", "vector")] + [found], ["vec_id", "vector", "leaf"])
+
+    def search(table):
+        return _met(table.mapInArrow(route, "vec_id bigint, vector array<double>, leaf bigint"), indexed, held, k, block)
+
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda pairs: pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    first = checkpointed(ranked(search(asked)))
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("kth"))
+    more = search(asked.join(kth, "vec_id"))
+    return ranked(first.drop("rank").unionByName(more)).select("query_id", "rank", "vec_id", "score")
+
 
-    routed = asked.mapInArrow(route, "vec_id bigint, vector array<double>, leaf bigint")
-    of_rows, of_queries = ({r["leaf"]: -(-r["count"] // block) for r in t.groupBy("leaf").count().collect()} for t in (indexed, routed))
-    grid = [(n, of_rows.get(n, 1), of_queries.get(n, 1)) for n in range(tree.leaves)]
-    sizes = F.broadcast(spark.createDataFrame(grid, "leaf bigint, row_blocks int, query_blocks int"))  # one row a leaf of the sample's tree
+def _met(routed: DataFrame, indexed: DataFrame, held: dict[int, int], k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: the ``k`` best of each query in each block of the leaves it visits."""
+    asked = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
+    grid = [(n, -(-held[n] // block), -(-asked[n] // block)) for n in sorted(asked.keys() & held.keys())]
+    sizes = F.broadcast(routed.sparkSession.createDataFrame(grid, "leaf bigint, row_blocks int, query_blocks int"))  # at most one row a leaf
 
     def dealt(table, own, other):
         mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
@@ -189,13 +229,15 @@ def nearest(
         })
 
     keys = ("leaf", "rb", "qb")
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id bigint, vec_id bigint, score double")
 
 
-def _calibrated(indexed: DataFrame, tree: KMeansTree, ids: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
-    """Leaves to visit so that ``recall`` of the true neighbours of the calibration queries lie in them."""
+def _calibrated(indexed: DataFrame, tree: KMeansTree, ids: np.ndarray, queries: np.ndarray, k: int, recall: float) -> tuple[int, float]:
+    """Leaves to visit so that ``recall`` of the true neighbours of the calibration queries lie in them, and the margin.
+
+    The margin is how far a leaf's centre may score below the k-th neighbour, for a query of
+    length 1, so that as many neighbours lie in such leaves.
+    """
 
     def scan(batches):
         top: dict[int, tuple] = {}
@@ -217,7 +259,15 @@ def _calibrated(indexed: DataFrame, tree: KMeansTree, ids: np.ndarray, queries:
 
     found = indexed.mapInArrow(scan, "n bigint, score double, vec_id bigint, leaf bigint")
     order = W.partitionBy("n").orderBy(F.desc("score"), "vec_id")
-    true = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("n", "leaf").collect()
+    true = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("n", "leaf", "score").collect()
+    if not true or tree.leaves == 1:
+        return 1, 0.0
     places = [{leaf: at for at, leaf in enumerate(tree.visits(q, tree.leaves))} for q in queries]
+    centres = tree.leaf_centres()
+    kth: dict[int, float] = {}
+    for r in true:
+        kth[r["n"]] = min(r["score"], kth.get(r["n"], np.inf))
     needed = sorted(places[r["n"]][r["leaf"]] + 1 for r in true)
-    return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
+    gaps = sorted((kth[r["n"]] - centres[r["leaf"]] @ queries[r["n"]]) / np.sqrt(queries[r["n"]] @ queries[r["n"]]) for r in true)
+    at = min(len(true) - 1, int(np.ceil(recall * len(true))) - 1)
+    return needed[at], float(gaps[at])

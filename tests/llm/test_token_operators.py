@@ -293,6 +293,36 @@ def test_search_leaves_unusable_vectors_out(spark):
     assert ann.nearest(empty, empty).count() == 0
 
 
+def test_every_query_gets_k_rows_where_there_are_as_many(spark):
+    """Queries in a leaf of their own, beside a hot leaf of equal vectors; and rare groups beside large ones."""
+    rows = {i: [1.0, 0.0, 0.0] for i in range(1, 1900)} | {2000 + 20 * i: [0.0, 1.0 + i / 64, 0.0] for i in range(5)}
+    vectors = vectors_of(spark, rows.items()).repartition(4)
+    out = ann.nearest(vectors, vectors.filter("vec_id >= 2000"), leaf=64)
+    counts = {r["query_id"]: r["count"] for r in out.groupBy("query_id").count().collect()}
+    assert counts == {2000 + 20 * i: 20 for i in range(5)}
+    assert sorted(map(tuple, out.collect())) == brute_nearest(rows, [2000 + 20 * i for i in range(5)], 20)
+
+    draw = np.random.default_rng(8)
+    middles = draw.normal(size=(36, 12))
+    kind = np.concatenate((draw.integers(0, 6, 1700), np.repeat(np.arange(6, 36), 10)))
+    rows = {i: [float(np.float32(x)) for x in middles[k] + draw.normal(scale=0.15, size=12)] for i, k in enumerate(kind)}
+    vectors = vectors_of(spark, rows.items()).repartition(4)
+    asked = [i for i in rows if i % 20 == 0] + [1701, 1711, 1805, 1999]
+    got = ann.nearest(vectors, vectors.filter(F.col("vec_id").isin(asked)), k=10, sample=800, leaf=64, calibrate=100).collect()
+    want = brute_nearest(rows, asked, 10)
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    hits = [np.mean([(q, v) in found for q, _, v, _ in want if q == a]) for a in asked]
+    assert len(got) == 10 * len(asked) and np.mean(hits) >= 0.95 and min(hits) >= 0.5
+
+
+def test_queries_take_part_with_the_candidates_length_only(spark):
+    rows = [(i, [float(i + 1), 1.0]) for i in range(30)] + [(100 + i, [1.0, 2.0, 3.0]) for i in range(9)]
+    vectors = vectors_of(spark, rows)
+    out = ann.nearest(vectors, vectors.filter("vec_id >= 20"), k=3).collect()  # nine of the nineteen queries have three components
+    assert {r["query_id"] for r in out} == set(range(20, 30)) and len(out) == 30
+    assert ann.nearest(vectors, vectors.filter("vec_id >= 100"), k=3).count() == 0
+
+
 def test_walk_visits_every_leaf_once_and_best_first():
     sample = np.random.default_rng(1).normal(size=(500, 4))
     tree = ann.KMeansTree(sample, leaf=20)
