@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import _col, extract_all, strip
@@ -13,6 +13,19 @@ def from_json_or_empty(c: Column | str, schema: str) -> Column:
     return F.coalesce(F.from_json(_col(c), schema), F.from_json(F.lit("[]"), schema))
 
 
+def decode_nested(rows: DataFrame, lists: dict[str, str] = {}, objects: dict[str, str] = {}, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Stored JSON columns as values: ``lists`` and ``objects`` map a column to its schema.
+
+    An unreadable or missing list is empty, an unreadable or missing object has null fields,
+    an element that does not fit its schema is null; a flag is true for any number but 0 and
+    false for null. Columns that the table lacks are passed over.
+    """
+    out = {c: from_json_or_empty(c, schema) for c, schema in lists.items() if c in rows.columns}
+    out |= {c: F.coalesce(F.from_json(F.col(c), schema), F.from_json(F.lit("{}"), schema)) for c, schema in objects.items() if c in rows.columns}
+    out |= {c: F.coalesce(F.col(c).cast("double") != 0, F.lit(False)) for c in flags if c in rows.columns}
+    return rows.withColumns(out)
+
+
 def summary_list(c: Column | str) -> Column:
     return F.filter(from_json_or_empty(c, "array<string>"), lambda x: x.isNotNull())
 

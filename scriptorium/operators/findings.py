@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_PACK, SEVERITIES, RulePack
+from ..config import DEFAULT_CONTRACT, DEFAULT_PACK, SEVERITIES, RulePack
 from ..functions import text as T
 from ..functions.align import align
 from .lexicon import lookup, near_misses
 
-LENGTH_ALERT = 0.62
-PRE_ALERT = 0.75
+LENGTH_ALERT, PRE_ALERT = DEFAULT_CONTRACT.melted_ratio, DEFAULT_CONTRACT.drift_ratio
 FINDING = ("doc_id", "block_id", "kind", "severity", "message", "start", "raw_excerpt", "source")
 
 

@@ -20,8 +20,11 @@ def _known(c: str) -> Column:
 def speaker_turns(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Consecutive segments of one named speaker become one block.
 
-    A segment without speaker never merges.
+    A segment without speaker never merges. Where segments have ``words``, turns have them
+    too, one after the other (null if no segment of the turn has any), and the
+    ``source_segment_ids`` they come from.
     """
+    worded = "words" in segments.columns
     blk = block_of("seg_idx", rows)
     seg = lagged(segments, ["doc_id"], ["seg_idx"], {"_prev": _known("speaker")}, block=blk)
     opens = F.when(F.coalesce(_known("speaker") == F.col("_prev"), F.lit(False)), 0).otherwise(1)
@@ -32,25 +35,33 @@ def speaker_turns(segments: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
         F.min("confidence").alias("confidence"),
         F.min_by(F.struct("speaker", "role"), "seg_idx").alias("who"),
         joined_text(F.when(T.strip("text") != "", T.strip("text")), "seg_idx").alias("text"),
-        F.count("*").alias("n_segments"),
+        F.count("*").alias("n_segments"), *([_in_order("words", "seg_idx"), _in_order(F.array("seg_idx"), "seg_idx", "ids")] if worded else []),
     )
     turns = part.groupBy("doc_id", "turn").agg(
         F.min("first").alias("first"), F.max("last").alias("last"),
         F.min_by("start", "part").alias("start"), F.max_by("end", "part").alias("end"),
         F.min("confidence").alias("confidence"), F.min_by("who", "part").alias("who"),
         joined_text(F.when(F.col("text") != "", F.col("text")), "part").alias("text"),
-        F.sum("n_segments").alias("n_segments"),
+        F.sum("n_segments").alias("n_segments"), *([_in_order("words", "part"), _in_order("ids", "part")] if worded else []),
     )
+    named = [F.transform("ids", lambda i: F.concat(F.lit("segment-"), i.cast("string"))).alias("source_segment_ids"), "words"] if worded else []
     ident = F.when(
         F.col("first") == F.col("last"), F.concat(F.lit("segment-"), F.col("first").cast("string"))
     ).otherwise(F.concat_ws("-", F.lit("block"), F.col("first").cast("string"), F.col("last").cast("string")))
     return turns.select(
         "doc_id", F.col("turn").alias("pos"), ident.alias("block_id"), "first", "last", "start", "end", "text",
         F.col("text").alias("raw_text"), "confidence", F.col("who.speaker").alias("speaker"), F.col("who.role").alias("role"),
-        "n_segments",
+        "n_segments", *named,
     )
 
 
+def _in_order(lists: Column | str, order: str, name: str | None = None) -> Column:
+    """Aggregate: lists one behind the other; null if all are."""
+    of = F.col(lists) if isinstance(lists, str) else lists
+    rows = F.array_sort(F.collect_list(F.when(of.isNotNull(), F.struct(F.col(order).alias("o"), of.alias("x")))))
+    return F.when(F.count(of) > 0, F.flatten(F.transform(rows, lambda r: r["x"]))).alias(name or lists)
+
+
 def source_segment_ids(first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda i: F.concat(F.lit("segment-"), i.cast("string")))
 

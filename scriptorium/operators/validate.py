@@ -10,9 +10,7 @@ from ..functions import fields, text as T
 from ..functions.align import align, similarity
 from .lexicon import ungrounded_entities
 
-WINDOW = 8
-SUPPORT_FLOOR = 0.70
-OPENING_FLOOR = 0.50
+WINDOW, SUPPORT_FLOOR, OPENING_FLOOR = DEFAULT_CONTRACT.window, DEFAULT_CONTRACT.support_floor, DEFAULT_CONTRACT.opening_floor
 
 
 def signals(pairs: DataFrame, pack: RulePack = DEFAULT_PACK, windows: tuple[int, ...] = (WINDOW,)) -> DataFrame:
@@ -89,7 +87,7 @@ def validate(
         (leak, "reasoning_leak"),
         (F.lit(contract.preserve_numbers) & (F.col("altered_numbers") > 0.5) & structural, "numbers_altered"),
         (F.lit(contract.preserve_acronyms) & (F.col("altered_acronyms") > 0.5) & structural, "acronyms_altered"),
-        (F.lit(contract.check_prefix) & misaligned(WINDOW, SUPPORT_FLOOR, OPENING_FLOOR), "prefix_misaligned"),
+        (F.lit(contract.check_prefix) & misaligned(contract.window, contract.support_floor, contract.opening_floor), "prefix_misaligned"),
         (F.lit(contract.check_language) & F.col("language_leak"), "language_mismatch"),
         (F.col("introduced_entities").isNotNull(), "ungrounded_entity"),
     ]
@@ -115,10 +113,10 @@ def accept_or_fallback(validated: DataFrame, pack: RulePack = DEFAULT_PACK) -> D
     })
 
 
-def loose_gate(pairs: DataFrame, pack: RulePack = DEFAULT_PACK) -> DataFrame:
+def loose_gate(pairs: DataFrame, pack: RulePack = DEFAULT_PACK, contract: Contract = DEFAULT_CONTRACT) -> DataFrame:
     """The looser gate: lost characters stop the block; loops and short texts fall back."""
     loop = T.repetition_loop("candidate") & ~T.repetition_loop("raw")
-    short = F.length("candidate") < F.length("raw") * 0.55
+    short = F.length("candidate") < F.length("raw") * contract.min_length_ratio
     return pairs.withColumns({
         "refused": F.contains("candidate", F.lit("�")),
         "text": F.when(loop | short, T.clean_line("raw", pack)).otherwise(F.col("candidate")),
@@ -190,8 +188,17 @@ def choose_retry(retries: DataFrame) -> DataFrame:
 
 
 def effective_segments(segments: DataFrame, retries: DataFrame) -> DataFrame:
-    """The overlay view: retry text only where it was chosen; raw rows stay."""
-    chosen = retries.filter("action = 'use_retry'").select("doc_id", "seg_idx", F.col("retry").alias("_retry"))
+    """The overlay view: retry text only where it was chosen; raw rows stay.
+
+    Where ``segments`` has ``words`` and ``retries`` has ``effective_words``, the words of a
+    chosen retry that has any take the place of the segment's.
+    """
+    worded = "words" in segments.columns and "effective_words" in retries.columns
+    new = [F.col("retry").alias("_retry"), *([F.col("effective_words").alias("_words")] if worded else [])]
+    chosen = retries.filter("action = 'use_retry'").select("doc_id", "seg_idx", *new)
     out = segments.join(chosen, ["doc_id", "seg_idx"], "left")
-    text = F.when(F.coalesce("_retry", F.lit("")) != "", F.col("_retry")).otherwise(F.col("text"))
-    return out.withColumn("text", text).drop("_retry").select(*segments.columns)
+    taken = F.coalesce("_retry", F.lit("")) != ""
+    out = out.withColumn("text", F.when(taken, F.col("_retry")).otherwise(F.col("text")))
+    if worded:
+        out = out.withColumn("words", F.when(taken, F.coalesce("_words", "words")).otherwise(F.col("words")))
+    return out.select(*segments.columns)

@@ -102,6 +102,19 @@ def split_blocks(spark, d):
     return E.split_blocks(b, marks(spark, d), cuts(b))[0].select("doc_id", "pos", "text")
 
 
+@query(
+    "refused_cuts",
+    with_(B.SEG, SPLIT)
+    + """SELECT doc_id, 's' || seg_idx AS block_id, seq, k AS word_index, CASE WHEN seq = 9 THEN 'bloc_inconnu' ELSE 'hors_du_bloc' END AS reason FROM (
+      SELECT doc_id, seg_idx, 0::BIGINT AS seq, 4::BIGINT AS k FROM cu WHERE seg_idx % 5 = 0 AND NOT far UNION ALL SELECT doc_id, seg_idx, 1, 2 FROM cu WHERE seg_idx % 5 = 0 AND NOT near
+      UNION ALL SELECT doc_id, seg_idx, 2, 3 FROM cu WHERE seg_idx % 5 = 0 UNION ALL SELECT doc_id, -seg_idx, 9, 1 FROM cu WHERE seg_idx % 10 = 0)""",
+)
+def refused_cuts(spark, d):
+    b = blocks(spark, d, words=True).withColumn("block_id", F.concat(F.lit("s"), F.col("pos").cast("string")))
+    unknown = b.filter("pos % 10 = 0").select("doc_id", F.concat(F.lit("s-"), F.col("pos").cast("string")).alias("block_id"), F.lit(1).alias("word_index"), F.lit(9).alias("seq"))
+    return E.refused_cuts(b, cuts(b).unionByName(unknown)).withColumns({"seq": F.col("seq").cast("bigint"), "word_index": F.col("word_index").cast("bigint")})
+
+
 @query(
     "split_annotations",
     with_(B.SEG, SPLIT)

@@ -157,6 +157,21 @@ def decode_nested(spark, d):
     return e.select("event_id", F.coalesce(F.from_json("props", "k bigint")["k"], F.lit(0)).alias("k"))
 
 
+@query(
+    "decode_rows",
+    """SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN NULL ELSE (props->>'k')::BIGINT END AS k, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 2 END::BIGINT AS n,
+      CASE WHEN event_id % 3 = 0 THEN '' ELSE (props->>'k') || ',' || event_id END AS ks, event_id % 4 > 1 AS publish FROM events""",
+)
+def decode_rows(spark, d):
+    """Several stored columns at once: an object, a list and a flag, each broken or missing in some rows."""
+    e, i = B.table(spark, d, "events"), F.col("event_id")
+    broken = F.when(i % 5 == 0, F.concat(F.lit("{"), "props")).when(i % 5 == 1, F.lit(None)).otherwise(F.col("props"))
+    several = F.when(i % 6 == 0, F.lit("[{")).when(i % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("["), "props", F.lit(', {"k": '), i.cast("string"), F.lit("}]")))
+    rows = e.select("event_id", broken.alias("state"), several.alias("parts"), F.when(i % 4 == 0, None).otherwise(i % 4 - 1).alias("publish"))
+    out = fields.decode_nested(rows, {"parts": "array<struct<k:bigint>>"}, {"state": "k bigint"}, ("publish", "chain"))
+    return out.select("event_id", "state.k", F.size("parts").cast("bigint").alias("n"), F.array_join(F.transform("parts", lambda p: p["k"].cast("string")), ",").alias("ks"), "publish")
+
+
 @query("uncertain_points", with_(B.SEG, B.CLAIM, VERD) + "SELECT doc_id, count(*) AS uncertain FROM verd WHERE verdict <> 'confirme' GROUP BY doc_id")
 def uncertain_points(spark, d):
     v = verdicts(spark, d).filter("verdict <> 'confirme'").select("doc_id", F.lit("fait").alias("kind"))

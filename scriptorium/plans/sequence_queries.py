@@ -28,6 +28,22 @@ def speaker_turns(spark, d):
     return Q.speaker_turns(B.segments(spark, d))
 
 
+@query(
+    "turn_words",
+    with_(B.SEG, TURNS)
+    + """SELECT t.doc_id, t.pos, t.block_id, count(s.seg_idx) AS n_segments, string_agg('segment-' || s.seg_idx, ' ' ORDER BY s.seg_idx) AS source_segment_ids,
+      string_agg(CASE WHEN s.seg_idx % 4 <> 0 THEN array_to_string(list_filter(string_split(s.text, ' '), lambda x: x <> ''), '|') END, '|' ORDER BY s.seg_idx) AS words
+    FROM turns t JOIN seg s ON s.doc_id = t.doc_id AND s.seg_idx BETWEEN t.first AND t.last GROUP BY ALL""",
+)
+def turn_words(spark, d):
+    """Turns with the words and the ids of their segments; every fourth segment has no words."""
+    seg = B.segments(spark, d)
+    seg = seg.withColumn("words", F.when(F.col("seg_idx") % 4 != 0, B.words_of(F.col("text"), F.col("start"), F.col("end"))))
+    t = Q.speaker_turns(seg)
+    said = F.array_join(F.transform("words", lambda w: w["text"]), "|")
+    return t.select("doc_id", "pos", "block_id", "n_segments", F.array_join("source_segment_ids", " ").alias("source_segment_ids"), said.alias("words"))
+
+
 def para_sql(speaker: str, name: str = "par", src: str = "seg", maxc: int = 1100) -> str:
     return f"""
 {name}_n AS (SELECT *, {speaker} AS sp, row_number() OVER w AS rn, lag("end") OVER w AS pe, lag({speaker}) OVER w AS ps

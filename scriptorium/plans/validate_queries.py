@@ -126,6 +126,23 @@ def effective_segments(spark, d):
     return V.effective_segments(B.asr_segments(spark, d), V.choose_retry(retries(spark, d))).select("doc_id", "seg_idx", "text")
 
 
+@query(
+    "effective_words",
+    with_(B.SEG)
+    + """SELECT doc_id, seg_idx, CASE WHEN new THEN 'encore ' || text ELSE text END AS text, array_to_string(CASE WHEN new AND seg_idx % 2 = 0 THEN w[2:] ELSE w END, '|') AS words
+    FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w, seg_idx % 3 = 0 AND text <> '' AS new FROM seg)""",
+)
+def effective_words(spark, d):
+    """Texts and words laid over where a retry is used; every other used retry brings words of its own."""
+    seg = B.segments(spark, d).withColumn("words", B.words_of(F.col("text"), F.col("start"), F.col("end")))
+    i = F.col("seg_idx")
+    tries = seg.select(
+        "doc_id", "seg_idx", F.when(i % 3 == 0, "use_retry").otherwise("keep_original").alias("action"), F.concat(F.lit("encore "), "text").alias("retry"),
+        F.when(i % 2 == 0, F.slice("words", 2, F.greatest(F.size("words"), F.lit(0)))).alias("effective_words"))
+    said = F.array_join(F.transform("words", lambda w: w["text"]), "|")
+    return V.effective_segments(seg, tries).select("doc_id", "seg_idx", "text", said.alias("words"))
+
+
 CONF = """
 conf AS (SELECT count(*) AS total, count(*) FILTER (expected = 'accept' AND actual = 'accept') AS true_accept, count(*) FILTER (expected = 'reject' AND actual = 'reject') AS true_reject,
   count(*) FILTER (expected = 'reject' AND actual = 'accept') AS false_accept, count(*) FILTER (expected = 'accept' AND actual = 'reject') AS false_reject FROM cases)

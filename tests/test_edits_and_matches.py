@@ -277,3 +277,39 @@ def test_entities_must_be_grounded(spark):
     ], "id long, raw string, candidate string")
     got = sorted((r["id"], r["term"]) for r in L.ungrounded_entities(p, names).collect())
     assert got == [(1, "code civil"), (2, "code civil"), (6, "curatelle"), (6, "juge"), (7, "juge")]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_cuts_are_refused_with_a_reason(spark, rows):
+    w = [(float(i), i + 1.0, t, None) for i, t in enumerate("a b c d e f g h".split())]
+    b = spark.createDataFrame(
+        [(1, 1, "b1", 0.0, 8.0, "a b c d e f g h", "", w), (1, 2, "b2", 8.0, 9.0, "x", "", w[:1]), (1, 3, "b3", 9.0, 9.5, "", "", []), (1, 4, "b4", 9.5, 9.9, "y", "", None)],
+        "doc_id long, pos long, block_id string, start double, end double, text string, raw_text string, words array<struct<start:double,end:double,text:string,confidence:double>>",
+    ).withColumn("speaker", F.lit("S"))
+    asked = [("b1", 6), ("b1", 7), ("b1", 3), ("b1", 3), ("b1", 0), ("b1", -2), ("b1", None), ("b1", 2), ("b1", 2), ("b2", 1), ("b3", 1), ("b4", 1), ("zz", 1)]
+    e = spark.createDataFrame([(1, i, k, n) for n, (i, k) in enumerate(asked)], "doc_id long, block_id string, word_index int, seq int").repartition(3)
+    got = {r["seq"]: r["reason"] for r in E.judged_cuts(b, e, rows=rows).collect()}
+    size, want = {"b1": 8, "b2": 1}, {}
+    for n, (i, k) in enumerate(asked):
+        want[n] = {"zz": E.UNKNOWN_BLOCK, "b3": E.NO_WORDS, "b4": E.NO_WORDS}.get(i)
+        if i in size:
+            ok = k is not None and 0 < k < size[i]
+            want[n] = None if ok else E.OUTSIDE
+            size[i] = k if ok else size[i]
+    assert got == want and sum(r is None for r in got.values()) == 3
+    notes = spark.createDataFrame([], "doc_id long, block_id string, range_start int, range_end int")
+    out = E.split_blocks(b, notes, e)[0].orderBy("pos").collect()
+    assert [r["text"] for r in out] == ["a b", "c", "d e f", "g h", "x", "", "y"]
+    assert E.refused_cuts(b, e).count() == 10 and E.refused_cuts(b, e.limit(0)).count() == 0
+
+
+def test_turns_carry_words_and_ids(spark):
+    w = lambda *t: [(0.0, 1.0, x, None) for x in t]
+    segs = [(1, 1, "S", w("a")), (1, 2, "S", None), (1, 3, "S", w("b", "c")), (1, 4, "T", None), (1, 6, None, w("d")), (1, 7, None, [])]
+    df = spark.createDataFrame(
+        [(d, i, i * 1.0, i + 0.5, f"t{i}", s, "r", 0.5, x) for d, i, s, x in segs],
+        "doc_id long, seg_idx long, start double, end double, text string, speaker string, role string, confidence double, words array<struct<start:double,end:double,text:string,confidence:double>>")
+    for rows in (1, 2, 100):
+        got = [(r["source_segment_ids"], None if r["words"] is None else [x["text"] for x in r["words"]]) for r in Q.speaker_turns(df, rows=rows).orderBy("pos").collect()]
+        assert got == [(["segment-1", "segment-2", "segment-3"], ["a", "b", "c"]), (["segment-4"], None), (["segment-6"], ["d"]), (["segment-7"], [])]
+    assert "words" not in Q.speaker_turns(df.drop("words")).columns
