@@ -313,3 +313,32 @@ def test_turns_carry_words_and_ids(spark):
         got = [(r["source_segment_ids"], None if r["words"] is None else [x["text"] for x in r["words"]]) for r in Q.speaker_turns(df, rows=rows).orderBy("pos").collect()]
         assert got == [(["segment-1", "segment-2", "segment-3"], ["a", "b", "c"]), (["segment-4"], None), (["segment-6"], ["d"]), (["segment-7"], [])]
     assert "words" not in Q.speaker_turns(df.drop("words")).columns
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1000])
+def test_runs_of_merges_do_not_depend_on_blocks(spark, rows):
+    """A document whose blocks are nearly all merged into one, beside small ones."""
+    rng = random.Random(rows)
+    blocks = [(d, p, f"b{p}", p * 1.0, p + 0.9, rng.choice(["", f"t{p}", f"wort {p}"]), rng.choice(["", f"r{p}"]), [(0.0, 1.0, f"w{p}", None)] if p % 3 else None)
+              for d, n in ((1, 60), (2, 5), (3, 1)) for p in range(1, n + 1)]
+    schema = "doc_id long, pos long, block_id string, start double, end double, text string, raw_text string, words array<struct<start:double,end:double,text:string,confidence:double>>"
+    named = {(1, f"b{p}") for p in range(1, 58)} - {(1, "b40")} | {(2, "b2"), (2, "b5"), (3, "b1")}
+    notes = [(d, f"b{p}", 1, None if p % 4 == 0 else 3) for d, p, *_ in blocks]
+    want, moved = [], []
+    for d in (1, 2, 3):
+        own = [list(b) for b in blocks if b[0] == d]
+        at = {b[2]: (b[2], 0) for b in own}
+        for k in range(len(own) - 2, -1, -1):
+            if (d, own[k][2]) in named:
+                a, b = own[k], own.pop(k + 1)
+                sep = " " if a[5] and b[5] else ""
+                off = len(a[5]) + len(sep)
+                at = {i: (a[2], o + off) if t == b[2] else (t, o) for i, (t, o) in at.items()}
+                a[4], a[5], a[6], a[7] = b[4], a[5] + sep + b[5], (a[6] + " " + b[6]).strip(), (a[7] or []) + (b[7] or [])
+        want += [(d, n, b[2], b[4], b[5], b[6], [w[2] for w in b[7] or []]) for n, b in enumerate(own, 1)]
+        moved += [(d, at[i][0], s + at[i][1], None if e is None else e + at[i][1]) for n, i, s, e in notes if n == d]
+    out, a = E.merge_with_next(
+        spark.createDataFrame(blocks, schema).repartition(3), spark.createDataFrame(notes, "doc_id long, block_id string, range_start int, range_end int"),
+        spark.createDataFrame(sorted(named), "doc_id long, block_id string"), rows=rows)
+    assert sorted((r["doc_id"], r["pos"], r["block_id"], r["end"], r["text"], r["raw_text"], [w["text"] for w in r["words"]]) for r in out.collect()) == want
+    assert sorted(map(str, map(tuple, a.collect()))) == sorted(map(str, moved))

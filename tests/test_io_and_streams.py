@@ -218,3 +218,14 @@ def test_streamed_findings_use_the_lexicon_and_can_run_again(spark, tmp_path):
 def test_checkpoint_folder_follows_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named if named else os.path.isdir(shared_dir(spark))
+
+
+def test_anchors_of_one_common_title_count_over_all_parts(spark):
+    courses = [(f"cours/2024/promotion/matin/{n:04d}.md", "# Droit\n\ntexte" if n % 3 else f"# Titre {n % 5}\n") for n in range(300)]
+    out = R.compile_master(spark.createDataFrame(courses, "path string, content string").repartition(7)).filter("section = 1").orderBy("path").collect()
+    seen = {}
+    for (path, content), row in zip(sorted(courses), out):
+        title = content.split("\n")[0][2:]
+        slug = title.lower().replace(" ", "-")
+        seen[slug] = seen.get(slug, 0) + 1
+        assert row["path"] == path and row["content"] == f"- [{title}](#{slug}{'' if seen[slug] == 1 else f'-{seen[slug]}'})"
