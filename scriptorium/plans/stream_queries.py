@@ -101,6 +101,16 @@ def stream_progression(spark, d):
     return run_once(S.stream_progression(live_events(spark, d)), "steps").select("job_id", "event_id")
 
 
+@query(
+    "stream_interrupted",
+    with_(B.EV) + """SELECT job_id, date_trunc('milliseconds', ts) AS last_ts FROM (SELECT job_id, max(ts) AS ts, arg_max(status, {'t': ts, 'e': event_id}) AS status, max(max(ts)) OVER () AS latest FROM ev GROUP BY job_id)
+      WHERE status = 'running' AND epoch_us(latest) - 600000000 > epoch_us(ts) + 28800000000""",
+)
+def stream_interrupted(spark, d):
+    """Jobs that the stream's timers report: no event for eight hours after a running one, as far as the watermark has come."""
+    return run_once(S.stream_interrupted(live_events(spark, d), 28800), "idle").select("job_id", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
 @query("stream_findings", with_(B.SEG, B.PAIR, B.LEX, B.LEX_NAMES, FULL) + "SELECT doc_id, block_id, kind, severity, message FROM find")
 def stream_findings(spark, d):
     """Findings as documents arrive, written batch by batch and read again."""
