@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,13 @@ def lost_tokens(pairs: DataFrame) -> DataFrame:
     return pairs.select(*pairs.columns, F.explode_outer(_lost()).alias("t")).filter("t is not null").select(*pairs.columns, "t.kind", "t.token")
 
 
-def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context: bool = False) -> DataFrame:
+def _filled(label: str, **values: Column) -> Column:
+    """A label with its {names} filled in."""
+    parts = re.split(r"\{(\w+)\}", label)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context: bool = False, pack: RulePack = DEFAULT_PACK) -> DataFrame:
     """Lost numbers, lost acronyms, melted passages and near-names.
 
     ``context`` adds ``clean_excerpt``, the place in the revised text.
@@ -47,11 +55,8 @@ def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context:
         found = found.join(terms.select(F.col("citation").alias("token"), F.lit(True).alias("known")), "token", "left")
         known = F.coalesce("known", F.lit(False))
     percent = F.rint((1 - F.length("clean") / F.length("raw")) * 100).cast("bigint").cast("string")
-    message = (
-        F.when(kind == "chiffre", F.concat(F.lit("Le nombre « "), token, F.lit(" » est prononcé mais absent du texte relu.")))
-        .when(kind == "terme", F.concat(F.lit("Le sigle « "), token, F.lit(" » est prononcé mais absent du texte relu.")))
-        .otherwise(F.concat(F.lit("Ce passage a perdu "), percent, F.lit(" % de sa longueur à la relecture : à comparer avec le texte brut.")))
-    )
+    said = lambda k: _filled(pack.findings[k], token=token, percent=percent)
+    message = F.when(kind == "chiffre", said("chiffre")).when(kind == "terme", said("terme")).otherwise(said("coupure"))
     raw_part, clean_part = T.excerpt("raw", "token"), []
     if context:
         only = lambda c, wanted: F.when(wanted, F.col(c))
@@ -73,7 +78,7 @@ def rule_findings(pairs: DataFrame, names: DataFrame | None = None, *, context:
     short = F.max("short") if "short" in names.columns else F.max(F.lit(""))
     near = near.join(names.groupBy("term").agg(short.alias("short")), "term")
     near = near.join(pairs.select("doc_id", "block_id", "start", "raw", "clean"), ["doc_id", "block_id"])
-    message = F.concat(F.lit("« "), "near_word", F.lit(" » ressemble à « "), "term", F.lit(" »"), "short", F.lit(" sans lui être identique : graphie à vérifier."))
+    message = _filled(pack.findings["lexique"], word=F.col("near_word"), term=F.col("term"), short=F.col("short"))
     lexical = near.select(
         "doc_id", "block_id", F.lit("lexique").alias("kind"), F.lit("basse").alias("severity"), message.alias("message"),
         "start", T.excerpt("raw", "near_word").alias("raw_excerpt"), F.lit("lexique").alias("source"),

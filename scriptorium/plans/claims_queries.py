@@ -174,8 +174,8 @@ def verdict_entities(spark, d):
     "decide_pending",
     with_(r"""w AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{4,}') AS citation FROM documents)""")
     + """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'rejetee' WHEN doc_id % 3 = 1 AND citation <> '' THEN 'validee' ELSE 'attente' END AS status,
-      md5(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '[^v1]: **« ' || citation || ' »** — proposition rejetée après relecture.'
-        WHEN doc_id % 3 = 1 AND citation <> '' AND p > 0 THEN substring(text, 1, p - 1) || 'NEUF' || substring(text, p + length(citation)) || chr(10) || '[^v1]: **« ' || citation || ' »** — corrigé en **NEUF** (validé manuellement).'
+      md5(CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '[^v1]: **« ' || citation || ' »** — proposition écartée par un relecteur.'
+        WHEN doc_id % 3 = 1 AND citation <> '' AND p > 0 THEN substring(text, 1, p - 1) || 'NEUF' || substring(text, p + length(citation)) || chr(10) || '[^v1]: **« ' || citation || ' »** — corrigé en **NEUF** (accepté par un relecteur).'
         ELSE text || chr(10) || '[^v1]: **« ' || citation || ' »** — correction à valider.' END) AS h
     FROM (SELECT *, instr(lower(text), lower(citation)) AS p FROM w) WHERE citation <> ''""",
 )

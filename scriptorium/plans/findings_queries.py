@@ -198,10 +198,10 @@ lost AS (
 """
 TOKEN_FINDINGS = f"""
   SELECT doc_id, block_id, kind, {{severity}} AS severity,
-         CASE WHEN kind = 'chiffre' THEN 'Le nombre « ' ELSE 'Le sigle « ' END || token || ' » est prononcé mais absent du texte relu.' AS message, "start",
+         CASE WHEN kind = 'chiffre' THEN 'Dit à l''oral, le nombre « ' ELSE 'Dit à l''oral, le sigle « ' END || token || ' » manque dans la version relue.' AS message, "start",
          {S.excerpt('raw', 'token')} AS raw_excerpt, 'regles' AS source FROM lost {{join}}
   UNION ALL
-  SELECT doc_id, block_id, 'coupure', 'haute', 'Ce passage a perdu ' || round_even((1 - length(clean)::DOUBLE / length(raw)) * 100, 0)::BIGINT || ' % de sa longueur à la relecture : à comparer avec le texte brut.', "start",
+  SELECT doc_id, block_id, 'coupure', 'haute', 'Version relue plus courte que l''oral de ' || round_even((1 - length(clean)::DOUBLE / length(raw)) * 100, 0)::BIGINT || ' % : passage à vérifier dans le brut.', "start",
          {S.excerpt('raw')}, 'regles' FROM pair WHERE raw <> '' AND length(clean) < length(raw) * 0.62::DOUBLE
 """
 PLAIN = LOST + ", find AS (" + TOKEN_FINDINGS.format(severity="CASE WHEN kind = 'chiffre' THEN 'haute' ELSE 'moyenne' END", join="") + ")"
@@ -210,7 +210,7 @@ FULL = (
     + near_sql("pair", "clean", "doc_id, block_id, \"start\", raw")
     + ", find AS ("
     + TOKEN_FINDINGS.format(severity="CASE WHEN kind = 'chiffre' OR look.term IS NOT NULL THEN 'haute' ELSE 'moyenne' END", join="LEFT JOIN look ON lost.kind = 'terme' AND look.citation = lost.token")
-    + f"""UNION ALL SELECT doc_id, block_id, 'lexique', 'basse', '« ' || near_word || ' » ressemble à « ' || near.term || ' »' || CASE WHEN len(acronyms) > 0 THEN ' (' || array_to_string(acronyms, '/') || ')' ELSE '' END || ' sans lui être identique : graphie à vérifier.',
+    + f"""UNION ALL SELECT doc_id, block_id, 'lexique', 'basse', '« ' || near_word || ' » est proche de « ' || near.term || ' »' || CASE WHEN len(acronyms) > 0 THEN ' (' || array_to_string(acronyms, '/') || ')' ELSE '' END || ', terme du lexique : vérifier l''écriture.',
       "start", {S.excerpt('raw', 'near_word')}, 'lexique' FROM near JOIN lex USING (term))"""
 )
 
