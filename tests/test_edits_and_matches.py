@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.functions import align as A
+from scriptorium.functions import align as A, edits as EDITS
 from scriptorium.functions.align import _align, _spans, locate
 from scriptorium.functions.edits import _annotate, insert_links, place_headings
 from scriptorium.functions import text as T
@@ -342,3 +342,61 @@ def test_runs_of_merges_do_not_depend_on_blocks(spark, rows):
         spark.createDataFrame(sorted(named), "doc_id long, block_id string"), rows=rows)
     assert sorted((r["doc_id"], r["pos"], r["block_id"], r["end"], r["text"], r["raw_text"], [w["text"] for w in r["words"]]) for r in out.collect()) == want
     assert sorted(map(str, map(tuple, a.collect()))) == sorted(map(str, moved))
+
+
+def brute_annotate(text, edits):
+    """The rule as it is said: the first place by letters and digits, in the text as it is by then."""
+    notes, lines = [], []
+    for e in edits:
+        places = [i for i, ch in enumerate(text) if ch.isalnum()]
+        pin = "".join(ch.lower()[:1] for ch in e["citation"] if ch.isalnum())
+        at = "".join(text[i].lower()[:1] for i in places).find(pin) if len(pin) >= 4 else -1
+        notes.append(None if at < 0 else len(lines) + 1)
+        if at >= 0:
+            mark, start, end = f"[^v{len(lines) + 1}]", places[at], places[at + len(pin) - 1] + 1
+            text = text[:end] + mark + text[end:] if e["replacement"] is None else text[:start] + e["replacement"] + mark + text[end:]
+            lines.append(mark + e["tail"])
+    return (text.rstrip() + "\n\n" + "\n".join(lines) + "\n" if lines else text), notes
+
+
+@pytest.mark.parametrize("size", [1, 3, 20, 2048])
+def test_ordered_edits_do_not_depend_on_pieces(monkeypatch, size):
+    monkeypatch.setattr(EDITS._Pieces.__init__, "__defaults__", (size,))
+    for seed in range(400):
+        rng = random.Random(seed)
+        letters = rng.choice(["ab", "ab ", "abv1 .", "aB-é 12v"])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 120)))
+        edits = []
+        for _ in range(rng.randint(0, 25)):
+            i = rng.randint(0, len(text))
+            said = text[i : i + rng.randint(3, 14)] if rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(rng.randint(3, 9)))
+            edits.append({"citation": said, "replacement": rng.choice([None, "".join(rng.choice(letters) for _ in range(rng.randint(0, 9)))]), "tail": "x"})
+        assert EDITS._annotate(text, edits) == brute_annotate(text, edits)
+
+
+def test_a_text_with_most_verdicts(spark):
+    """One document holds nearly all verdicts."""
+    rng = random.Random(0)
+    words = [f"mot{rng.randint(0, 9999)}" for _ in range(5000)]
+    verdicts = [(1, n, "nom_propre", " ".join(words[i : i + 2]), rng.choice(["corrige", "infirme", "confirme"]), "haute", f"neuf {n}", [("t", "https://a")], "Vu.", "web")
+                for n, i in enumerate(rng.randint(0, len(words) - 2) for _ in range(300))]
+    verdicts += [(2, 1, "nom_propre", "mot un", "infirme", "haute", "", [("t", "https://a")], "Non.", "web")]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "le mot un")], "doc_id long, text string")
+    v = spark.createDataFrame(verdicts, "doc_id long, pos long, type string, citation string, verdict string, confidence string, correct_form string, sources array<struct<title:string,url:string>>, explanation string, origin string")
+    texts, marks = C.apply_verdicts(docs, v.repartition(4))
+    got = {r["doc_id"]: r["text"] for r in texts.collect()}
+    noted = sorted((r["pos"], r["note"]) for r in marks.filter("doc_id = 1").collect())
+    order = [x for x in verdicts if x[0] == 1 and x[4] != "confirme"]
+    edits = [{"citation": x[3], "replacement": x[6] if x[4] == "corrige" else None, "tail": ""} for x in order]
+    body, notes = brute_annotate(" ".join(words), edits)
+    assert got[1].split("\n\n")[0] == body.split("\n\n")[0]
+    assert noted == sorted((x[1], n) for x, n in zip(order, notes) if n)
+
+
+def test_thousands_of_edits_in_one_long_text():
+    rng = random.Random(3)
+    words = [f"mot{rng.randint(0, 9999)}" for _ in range(200_000)]
+    edits = [{"citation": " ".join(words[i : i + 2]), "replacement": None if i % 2 else f"neuf {i}", "tail": ""} for i in rng.sample(range(len(words) - 1), 4000)]
+    start = time.process_time()
+    notes = EDITS._annotate(" ".join(words), edits)[1]
+    assert time.process_time() - start < 40 and sum(n is not None for n in notes) > 3500
