@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as transcription jobs: doc_id, raw_text, language."""
+    """Documents as recordings with transcripts: doc_id, raw_text, language."""
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"), F.col("lang").alias("language"))
 
 

@@ -1,4 +1,4 @@
-"""Transcription jobs in shards of near equal bytes, by histogram sort. DataFrame functions only."""
+"""Transcripts in shards of near equal bytes, by histogram sort. DataFrame functions only."""
 
 from __future__ import annotations
 
